@@ -116,3 +116,26 @@ def crc32_ids(ids: np.ndarray) -> int:
     import zlib
 
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()) & 0xFFFFFFFF
+
+
+def with_computed(df: DataFrame, inputs: list[str], fields: dict[str, str], make) -> DataFrame:
+    """df with columns that make(*lists of input values) returns as a list of lists or arrays, batch by batch in Python.
+
+    All other columns pass through as Arrow data; a column of df that has the name of a new one is replaced."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    base = df.select([c for c in df.columns if c not in fields or c in inputs])
+    kept = [c for c in base.columns if c not in fields]
+    extra = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    schema = T.StructType([base.schema[c] for c in kept] + extra.fields)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in extra]
+        for b in batches:
+            made = make(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types, strict=True)], names=schema.names)
+
+    return base.mapInArrow(run, schema)
