@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -96,8 +97,27 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+_SPAN_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of a UTF-8 buffer, words being runs of other than ASCII white space."""
+    """Start, end and 64-bit hash of each word of a UTF-8 buffer, words being runs of other than ASCII white space.
+
+    Long buffers are taken in stretches cut at white space, so that memory follows the stretch, not the text."""
+    out, at = [], 0
+    while at < len(data):
+        cut_at = _SPACE.search(data, at + _SPAN_BYTES)
+        to = cut_at.end() if cut_at else len(data)
+        s, e, h = _word_spans(data[at:to])
+        out.append((s + at, e + at, h))
+        at = to
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
@@ -112,6 +132,26 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def joined_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of several texts, one text after another, and where each text's words begin (one place more at the end)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    start, _, h = word_spans(b" ".join(raw))
+    bounds = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw])))
+    return h, np.searchsorted(start, bounds[: len(texts) + 1])
+
+
+def slices(sizes: list[int], most: int):
+    """(from, to) of runs of items whose sizes add up to about `most`."""
+    at = total = 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield at, k + 1
+            at, total = k + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     import zlib
 
