@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import dartminhash, divergence, packing, secrets, sstable, transducer
+from . import dartminhash, divergence, mixing, packing, secrets, sstable, transducer
 
 QUERIES = {
     "op1_sorted_string_table": sstable.query,
     "op4_dartminhash": dartminhash.query,
     "op5_distribution_divergence": divergence.query,
     "op7_minimum_bin_slack": packing.query,
+    "op8_hierarchical_budgets": mixing.query,
     "op9_secret_structures": secrets.query,
     "op10_transducer_counts": transducer.query,
 }
 
 ORACLE_SQL = {
     "op5_distribution_divergence": divergence.ORACLE,
+    "op8_hierarchical_budgets": mixing.ORACLE,
 }
