@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import dartminhash, divergence, imatch, mixing, packing, secrets, sstable, transducer
+from . import dartminhash, divergence, fmindex, imatch, mixing, packing, secrets, sstable, transducer
 
 QUERIES = {
     "op1_sorted_string_table": sstable.query,
     "op3_imatch": imatch.query,
     "op4_dartminhash": dartminhash.query,
     "op5_distribution_divergence": divergence.query,
+    "op6_fm_index": fmindex.query,
     "op7_minimum_bin_slack": packing.query,
     "op8_hierarchical_budgets": mixing.query,
     "op9_secret_structures": secrets.query,
