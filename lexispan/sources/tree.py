@@ -44,7 +44,7 @@ def path_class(path: Column) -> Column:
 def walk(spark: SparkSession, root: str, ignore: DataFrame | None = None) -> DataFrame:
     """path (below root), mtime (seconds), size, content of the files of a tree.
 
-    Contents over MAX_BYTES are empty: such a file keeps its row and yields nothing. So do contents that are no UTF-8."""
+    Contents over MAX_BYTES are empty: such a file keeps its row and yields nothing. So do contents that are no UTF-8. Files without a byte are left out by the reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^{base}/".replace("\\", "\\\\"), "")
