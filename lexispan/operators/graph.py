@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scan import CODE, enclosing_functions, extension
+from .scan import CODE, FUNCTION, enclosing_functions, extension
 
 MAX_DEPTH = 5
 
@@ -75,7 +75,8 @@ def call_edges(lines: DataFrame, extensions: tuple[str, ...] = CODE) -> DataFram
     """caller, callee and the caller's path: every call-like name in a line with the function that encloses it. Built once for any number of trees."""
     code = lines.filter(extension(F.col("path")).isin(*extensions)) if extensions else lines
     calls = code.withColumn("callee", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\s*\("), 1))))
-    calls = calls.filter(~F.col("text").rlike(r"\b(?:fun|func|def|sub|function)\s")).select("path", "line", "callee")
+    # a definition's own name is no call
+    calls = calls.filter(F.col("callee") != F.regexp_extract("text", FUNCTION, 1)).select("path", "line", "callee")
     return enclosing_functions(calls, code).filter("function IS NOT NULL").select(F.col("function").alias("caller"), "callee", "path").distinct()
 
 

@@ -37,16 +37,18 @@ def facts(contents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def module_facts(contents: DataFrame) -> dict[str, DataFrame]:
-    files, lines = contents.select("path"), extract.lines_of(contents)
-    modules = extract.all_modules(files, contents, lines).select("id", "name", "path", "kind")
+def module_tables(contents: DataFrame) -> DataFrame:
+    return extract.all_modules(contents.select("path"), contents, extract.lines_of(contents)).select("id", "name", "path", "kind")
+
+
+def dependency_tables(contents: DataFrame, modules: DataFrame) -> DataFrame:
     deps = extract.gradle_dependencies(contents, modules)
+    return keyed(deps, "module_id", "dep_module_id", "dep_kind").select("id", "module_id", "dep_module_id", "dep_kind")
+
+
+def closure_tables(deps: DataFrame, modules: DataFrame) -> DataFrame:
     closed = graph.closure(deps, modules)
-    return {
-        "modules": modules,
-        "module_deps": keyed(deps, "module_id", "dep_module_id", "dep_kind").select("id", "module_id", "dep_module_id", "dep_kind"),
-        "transitive_deps": keyed(closed, "module_id", "dependency_id", "path").select("id", "module_id", "dependency_id", "depth", "path"),
-    }
+    return keyed(closed, "module_id", "dependency_id", "path").select("id", "module_id", "dependency_id", "depth", "path")
 
 
 def platform_facts(contents: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
@@ -70,16 +72,23 @@ class Store:
 
     spark: SparkSession
     root: str
+    _known: dict[str, str] | None = None
 
     def _pointer(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def versions(self) -> dict[str, str]:
+        """Where each table's newest version lies, as of this store's last write or first read."""
+        if self._known is None:
+            self._known = self._latest()
+        return self._known
+
+    def _latest(self) -> dict[str, str]:
         p, fs = self._pointer()
         if not fs.exists(p):
             return {}
-        rows = self.spark.read.json(f"{self.root}/_versions").collect()  # a row for each table
+        rows = self.spark.read.schema("table string, n long, path string").json(f"{self.root}/_versions").collect()  # a row for each table
         latest: dict[str, tuple[int, str]] = {}
         for r in rows:
             latest[r.table] = max(latest.get(r.table, (0, "")), (r.n, r.path))
@@ -95,6 +104,7 @@ class Store:
             df.select(*[c if c in df.columns else F.lit(None).cast("bigint").alias(c) for c in want]).write.parquet(path)
             rows.append((name, n, path))
         self.spark.createDataFrame(rows, "table string, n long, path string").coalesce(1).write.mode("append").json(f"{self.root}/_versions")
+        self._known = None
 
     def read(self, name: str) -> DataFrame:
         at = self.versions()
@@ -109,7 +119,7 @@ class Store:
         if stage in ("all", "files", "symbols"):
             self.write(facts(contents))
         if stage in ("all", "modules", "deps"):
-            self.write(module_facts(contents))
+            self._modules(contents)
         if stage == "all":
             self.write(platform_facts(contents, self.read("modules")))
 
@@ -123,9 +133,15 @@ class Store:
         lost = old["symbols"].join(gone, "file_id", "left_semi").select(F.col("id").alias("child_id"))
         kept = {"files": old["files"].join(gone.withColumnRenamed("file_id", "id"), "id", "left_anti"), "symbols": old["symbols"].join(gone, "file_id", "left_anti"), "refs": old["refs"].join(gone, "file_id", "left_anti"), "inheritance": old["inheritance"].join(lost, "child_id", "left_anti")}
         self.write({k: kept[k].unionByName(fresh[k]) for k in kept})
-        self.write(module_facts(contents))
+        self._modules(contents)
         return n
 
+    def _modules(self, contents: DataFrame) -> None:
+        """Modules, then what depends on them, each from the written table before: the closure's joins read small tables, not their making."""
+        self.write({"modules": module_tables(contents)})
+        self.write({"module_deps": dependency_tables(contents, self.read("modules"))})
+        self.write({"transitive_deps": closure_tables(self.read("module_deps"), self.read("modules"))})
+
     def clear(self) -> None:
         self.write({k: self.spark.createDataFrame([], v) for k, v in TABLES.items() if k != "metadata"})
 
