@@ -83,7 +83,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common
     keyed = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text))
     classes = with_classes(keyed, text).groupBy("_lang").agg(*[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
     classes = cut(classes, "op5-classes")
-    counts = cut(keyed.select("_lang", F.explode(F.transform(words_column(F.col(text)), F.lower)).alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("n")), "op5-words")
+    counts = cut(keyed.select("_lang", F.explode(words_column(F.col(text))).alias("word")).withColumn("word", F.lower("word")).groupBy("_lang", "word").agg(F.count("*").alias("n")), "op5-words")
     both = lambda df, *by: df.unionByName(df.withColumn("_lang", F.lit("*"))).groupBy("_lang", *by)
     totals = both(counts).agg(F.sum("n").alias("total"))
     ranked = both(counts, "word").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= n_common)
@@ -116,7 +116,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: in
     df = df.withColumn("_all", F.lit("*")).join(refs.filter("_lang != '*'"), "_lang", "left").join(whole.withColumn("_all", F.lit("*")), "_all", "left")
     for c in ("_common", "_ref_words", "_ref_classes"):
         df = df.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_all")))
-    df = df.withColumn("_hits", F.filter(F.transform("_words", F.lower), lambda w: F.array_contains(F.col("_common"), w)))
+    df = df.withColumn("_hits", F.transform(F.filter("_words", lambda w: F.array_contains(F.col("_common"), F.lower(w))), F.lower))
     counts = F.transform("_common", lambda c: (F.size("_hits") - F.size(F.array_remove(F.col("_hits"), c))).cast("bigint"))
     df = df.withColumn("_counts", F.concat(counts, F.array(F.col("n_words") - F.size("_hits"))))
     df = df.withColumns({
@@ -128,6 +128,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: in
     return df.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*helpers)
 
 
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    own = {c: f"_own_{c}" for c in docs.columns}
+    judged = judge(docs.withColumnsRenamed(own), text=own[options.pop("text", "text")], lang=own[options.pop("lang", "lang")], **options)
+    # The row number keeps the optimizer from pushing the verdict down: as a predicate it would be computed anew wherever a measure is used.
+    judged = judged.withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter((F.col("_row") >= 0) & F.col("kept")).select(*[F.col(v).alias(k) for k, v in own.items()])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -147,7 +156,8 @@ def _js(a: str, b: str) -> str:
 ORACLE = rf"""
 WITH base AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{SPACES}+'), lambda x: x <> '') AS words,
-        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM base),
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM base),
 win AS (SELECT doc_id, i, list_slice(words, i, i + 7) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, sum(least(8, coalesce(n - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM again) GROUP BY doc_id),
