@@ -31,7 +31,7 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Agreement of signatures from which on a pair is decided exactly: 0.8 less 3.5 standard deviations.
 ESTIMATE = 0.68
-BLOCK = 1024
+BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
 _LAYER = 2.0**-5
 
 
@@ -139,11 +139,11 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             for x, y in slices([1] * b.num_rows, 2000):
                 part = b.slice(x, y - x)
-                nodes, bands, sigs = sketch([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["key", "node", "bands", "signature"])
+                nodes, bands, sigs = sketch([t or "" for t in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["key", "h", "node", "bands", "signature"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key bigint, node binary, bands array<bigint>, signature binary")
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "key bigint, h bigint, node binary, bands array<bigint>, signature binary")
 
 
 def element_arrays(rows: DataFrame) -> DataFrame:
@@ -176,43 +176,50 @@ def verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     return joined.withColumn("s", shared).filter(F.col("s") >= threshold * (F.size("ea") + F.size("eb") - F.col("s"))).select("a", "b")
 
 
-def block_pairs(rows: DataFrame, estimate: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose signatures agree in `estimate` of the coordinates.
+def block_links(rows: DataFrame, threshold: float, estimate: float) -> DataFrame:
+    """Links (a, b) between nodes of one bucket and different components.
 
-    rows: key, node, component, signature, size (of the bucket). A bucket is dealt out as pairs of blocks of BLOCK nodes,
-    so a task's work is bounded whatever the bucket; only agreeing pairs leave it."""
+    rows: key, band, node, component, signature, elements, size and weight (nodes and elements of the bucket). A bucket is dealt out
+    as pairs of blocks of at most about BLOCK nodes and BLOCK_ELEMENTS elements, so a task's work is bounded whatever the bucket. A
+    pair is taken up in the first band that it shares, if its signatures agree enough, and decided exactly there: only links leave the task."""
     import pandas as pd
 
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_ELEMENTS)).cast("int")
     own = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(pdf):
         sig = np.frombuffer(b"".join(pdf["signature"]), "<u2").reshape(len(pdf), -1)
-        parts = pd.factorize(pdf["component"])[0]
-        block = pdf["block"].to_numpy()
+        parts, block, band = pd.factorize(pdf["component"])[0], pdf["block"].to_numpy(), pdf["band"].iloc[0]
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        elements = [np.asarray(e) for e in pdf["elements"]]
+        size = np.array([len(e) for e in elements])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b, need = [], [], estimate * sig.shape[1]
         for x in left:
             other = right[(parts[right] != parts[x]) & ((right > x) | (i != j))]
-            if len(other):
-                hit = other[(sig[other] == sig[x]).sum(axis=1) >= need]
-                a += [x] * len(hit)
-                b += list(hit)
+            other = other[np.minimum(size[other], size[x]) >= threshold * np.maximum(size[other], size[x])]
+            if not len(other):
+                continue
+            same = sig[other] == sig[x]
+            keep = (same.sum(axis=1) >= need) & (same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+            for y in other[keep]:
+                shared = len(np.intersect1d(elements[x], elements[y], assume_unique=True))
+                if shared >= threshold * (size[x] + size[y] - shared):
+                    a.append(x)
+                    b.append(y)
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"a": node[a] if a else [], "b": node[b] if b else []}, dtype=object)
 
-    found = dealt.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return dealt.select("key", "band", "i", "j", "block", "node", "component", "signature", "elements").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key and class_id (the least key of its class) for every row of docs."""
+def labelled_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, h (hash of the text) and component for every row of docs."""
     found = cut(sketched(docs, key, text), "op4-sketches")
-    members = found.select("key", "node")
+    members = found.select("key", "h", "node")
     nodes = found.dropDuplicates(["node"])
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "node")
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut(banded.join(shared, "key"), "op4-buckets")  # nodes that share no bucket are done
 
@@ -222,38 +229,38 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     star = cut(star, "op4-star")
 
     # one text for each node that shares a bucket
-    chosen = members.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).join(chosen, "key")
-    texts = with_node(texts)
+    chosen = members.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("k"), "h")).alias("r")).select("node", "r.*")
+    texts = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = texts.join(chosen, ["k", "h"]).select("node", "text")
     elements = cut(element_arrays(texts).dropDuplicates(["node"]), "op4-elements")
     links = cut(verified(star, elements, threshold), "op4-links")
 
     part = cut(components(links), "op4-components")
     labelled = buckets.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").join(nodes.select("node", "signature"), "node")
-    tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = cut(verified(block_pairs(rest, ESTIMATE).join(tried, ["a", "b"], "left_anti"), elements, threshold), "op4-more")
+    labelled = labelled.join(elements.select("node", F.size("elements").alias("n_elements")), "node")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_elements").alias("weight")).filter("x <> y").select("key", "weight")
+    rest = labelled.join(open_keys, "key").join(nodes.select("node", "signature"), "node").join(elements, "node")
+    more = cut(block_links(rest, threshold, ESTIMATE), "op4-more")
     part = cut(components(links.unionByName(more)), "op4-classes")
 
-    labelled = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("key").alias("class_id"))
-    return labelled.join(least, "component").select("key", "class_id")
-
-
-def with_node(rows: DataFrame) -> DataFrame:
-    """Rows (key, text, node) whose text is the one that node names: ids that are not unique may bring others."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
+    return members.join(part, "node", "left").select("key", "h", F.coalesce("component", "node").alias("component"))
 
-        for b in batches:
-            t = pa.table({"node": b.column(b.schema.get_field_index("node")), "text": b.column(b.schema.get_field_index("text"))})
-            same = [xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "surrogatepass").split())) == n for x, n in zip(t.column("text").to_pylist(), t.column("node").to_pylist(), strict=True)]
-            yield from t.filter(pa.array(same, pa.bool_())).to_batches()
 
-    return rows.select("node", "text").mapInArrow(run, "node binary, text string")
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key and class_id (the least key of its class) for every row of docs."""
+    rows = labelled_rows(docs, key, text, threshold)
+    least = rows.groupBy("component").agg(F.min("key").alias("class_id"))
+    return rows.join(least, "component").select("key", "class_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each class: that of the least id (null last), and of the least text hash if ids repeat."""
+    rows = labelled_rows(docs, key, text, threshold)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("r")
+    chosen = cut(rows.groupBy("component").agg(first).select(F.coalesce("r.key", F.lit(-(1 << 63))).alias("_k"), F.col("r.h").alias("_h")).distinct(), "op4-chosen")
+    named = docs.withColumns({"_k": F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))), "_h": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    # dropDuplicates needs what the join has dealt out already
+    return named.join(chosen, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
