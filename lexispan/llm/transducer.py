@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, tokenizer_path, with_computed
+from .common import documents, slices, tokenizer_path, with_computed
+from .encoders import Generations
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -49,8 +51,7 @@ class Transducer:
                 raise ValueError("a piece has a word mark after another character: texts can't be cut there")
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self._reset()
-        self.words: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.words = Generations(REMEMBERED)
 
     @classmethod
     def load(cls, name: str) -> Transducer:
@@ -122,22 +123,16 @@ class Transducer:
             total += n
         return state, total
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.older, self.words = self.words, {}
-        for w in words:
-            n = self.older.get(w)
-            self.words[w] = self.run(self.start, w)[1] if n is None else n
+    def learn(self, words) -> None:
+        """Remembers the tokens of each stretch of text that begins at a cut."""
+        self.words.age()
+        for w in self.words.unknown(words):
+            self.words.young[w] = self.run(self.start, w)[1]
 
     def of_units(self, units: list[str]) -> int:
         """Tokens of a text's stretches, each of which begins at a cut."""
-        known = self.words
-        if new := {u for u in units if u not in known}:
-            self._learn(new)
-            known = self.words
-            if any(u not in known for u in units):  # a new generation has just begun
-                self._learn(set(units))
-        return sum(map(known.__getitem__, units))
+        self.learn(units)
+        return sum(map(self.words.young.__getitem__, units))
 
     def chunk(self, text: str) -> ChunkMap:
         units = _UNIT.findall(text)
@@ -153,15 +148,25 @@ class Transducer:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
-        if not text:
-            return 0
+        return self.counts([text])[0]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each of some whole texts, which are learnt together."""
         if len(self.states) > COMPILED:
             self._reset()
         if len(self.pairs) > COMPILED:
             self.pairs.clear()
-        text = MARK + text.replace(" ", MARK)
-        if len(text) <= CHUNK:
-            return self.of_units(_UNIT.findall(text))
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        units = [_UNIT.findall(t) if len(t) <= CHUNK else None for t in marked]
+        self.learn(chain.from_iterable(x for x in units if x))
+        get = self.words.young.__getitem__
+        out = [0 if x is None else sum(map(get, x)) for x in units]
+        for i, t in enumerate(marked):
+            if units[i] is None:
+                out[i] = self._long(t)
+        return out
+
+    def _long(self, text: str) -> int:
         maps = [self.chunk(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]
         while len(maps) > 1:  # the up-sweep of a prefix scan; only the whole is asked for
             maps = [maps[k].then(maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
@@ -197,7 +202,9 @@ def transducer(name: str) -> Transducer:
 def counter(name: str = MODEL) -> Callable[[list], list]:
     def make(texts: list[str | None]) -> list[list[int]]:
         t = transducer(name)
-        return [[len((x or "").encode()) for x in texts], [t.count(x or "") for x in texts]]
+        texts = [x or "" for x in texts]
+        counts = [n for a, b in slices([len(x) for x in texts], 1 << 20) for n in t.counts(texts[a:b])]
+        return [[len(x.encode()) for x in texts], counts]
 
     return make
 
