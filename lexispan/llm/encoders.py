@@ -1,27 +1,62 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of the units between white space.
 
 Both public vocabularies cut texts at white space before they merge anything, so a text's ids are those of its
-units, one after another. A unit is encoded by the library once and remembered. A text that holds white space other than
-blank and line feed goes to the library as a whole, since there the cut might not be where the pre-tokenizer's is.
+units, one after another. A unit is normalised and cut into words as the vocabulary's pre-tokenizer does, and the library's
+model encodes each word once; units and words are remembered. What might be cut otherwise goes to the library as it
+stands: a text with white space other than blank and line feed or with the mark of a special token, and a unit with letters
+beyond Latin ones.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from array import array
+from itertools import chain
 
-import numpy as np
+from .common import slices, tokenizer_path
 
-from .common import tokenizer_path
-
-#: White space, by any engine's notion, other than blank and line feed.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: White space, by any engine's notion, other than blank and line feed; and what special tokens begin with.
+_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
 _UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Units remembered in each of two generations; what the younger one has met moves on when it is full, the rest is forgotten.
+_LATIN = "ɐ"
+_LATIN_CLASS = {k: "".join(c for c in map(chr, range(ord(_LATIN))) if unicodedata.category(c)[0] == k) for k in "LN"}
+#: The byte-level pre-tokenizer's own pattern; it is fixed by the vocabulary.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Entries of each of two generations; what the younger one has met moves on when it is full, the rest is forgotten.
 REMEMBERED = 250_000
 _encoders: dict[str, CachedEncoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class Generations:
+    """A bounded memory: a dict, and the generation before it."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.young: dict = {}
+        self.older: dict = {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.older, self.young = self.young, {}
+
+    def unknown(self, keys) -> list[str]:
+        """The keys that neither generation has; those of the older one join the younger."""
+        new = set(keys).difference(self.young)
+        known = [k for k in new if k in self.older]
+        self.young.update((k, self.older[k]) for k in known)
+        return list(new.difference(known))
+
+
 class CachedEncoder:
     """ids(texts): for each text its ids as little-endian unsigned 16-bit bytes."""
 
@@ -29,33 +64,71 @@ class CachedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        t = self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        t.no_truncation()
+        t.no_padding()
+        if t.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError(f"{name}: ids beyond 16 bits")
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        made = json.loads(t.to_str())
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [made["pre_tokenizer"]])
+        level = steps[-1]
+        if level["type"] != "ByteLevel" or level["add_prefix_space"] or len(steps) > 2 or any(not x["content"].startswith("<|") for x in made["added_tokens"]):
+            raise ValueError(f"{name}: not a byte-level vocabulary of the known kind")
+        pattern = steps[0]["pattern"]["Regex"] if len(steps) == 2 else _BYTE_LEVEL
+        # within Latin letters the standard library's patterns do, with the classes written out
+        pattern = re.sub(r"(\[[^\]]*\])|\\p\{([LN])\}", lambda m: re.sub(r"\\p\{([LN])\}", lambda x: _LATIN_CLASS[x[1]], m[1]) if m[1] else f"[{_LATIN_CLASS[m[2]]}]", pattern)
+        self.words_of = re.compile(pattern).findall
+        self.keeps_space = len(steps) == 1
+        self.normal = t.normalizer and t.normalizer.normalize_str
+        self.letters, self.model = _byte_letters(), t.model
+        self.units, self.words = Generations(), Generations()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, units: list[str]) -> None:
+        """Remembers the ids of units; None for a unit whose text must go to the library as a whole."""
+        self.words.age()
+        young, slow = self.units.young, []
+        lone: dict[str, str] = {}  # units that are one word of plain letters
+        cut: dict[str, list[str]] = {}
+        for u in units:
+            word = u.lstrip(" \n")
+            if word.isalpha() and word.isascii():
+                if not self.keeps_space:
+                    lone[u] = word.lower()
+                    continue
+                if len(u) == len(word) or u[0] == " " and len(u) == len(word) + 1:
+                    lone[u] = u
+                    continue
+            if _ODD.search(u):
+                young[u] = None
+            elif max(u) >= _LATIN:
+                slow.append(u)
+            else:
+                cut[u] = self.words_of(self.normal(u) if self.normal else u)
+        known, letters, tokenize = self.words, self.letters, self.model.tokenize
+        for w in known.unknown(chain(lone.values(), chain.from_iterable(cut.values()))):
+            # printable ASCII stands for itself, but for the blank
+            mapped = w.replace(" ", letters[32]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
+            known.young[w] = array("H", [t.id for t in tokenize(mapped)]).tobytes()
+        get = known.young.__getitem__
+        young.update(zip(slow, self._library(slow), strict=True))
+        young.update(zip(lone, map(get, lone.values()), strict=True))
+        young.update((u, b"".join(map(get, x))) for u, x in cut.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(texts), 128):
-            part = texts[k : k + 128]
-            units = [None if _ODD.search(t) else _UNITS.findall(t) for t in part]
-            if len(self.memory) > REMEMBERED:
-                self.older, self.memory = self.memory, {}
-            memory, older = self.memory, self.older
-            new = {u for x in units if x for u in x if u not in memory}
-            known = new & older.keys()
-            memory.update((u, older[u]) for u in known)
-            new = list(new - known)
-            for j in range(0, len(new), 1024):
-                memory.update(zip(new[j : j + 1024], self._encode(new[j : j + 1024]), strict=True))
-            get = memory.__getitem__
-            out += [self._encode([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(part, units, strict=True)]
+        for a, b in slices([len(t) for t in texts], 1 << 20):
+            units = [_UNITS.findall(t) for t in texts[a:b]]
+            self.units.age()
+            self._learn(self.units.unknown(chain.from_iterable(units)))
+            get = self.units.young.__getitem__
+            for t, x in zip(texts[a:b], units, strict=True):
+                try:
+                    out.append(b"".join(map(get, x)))
+                except TypeError:  # an odd unit
+                    out += self._library([t])
         return out
 
 
