@@ -26,7 +26,7 @@ _LATIN_CLASS = {k: "".join(c for c in map(chr, range(ord(_LATIN))) if unicodedat
 #: The byte-level pre-tokenizer's own pattern; it is fixed by the vocabulary.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of two generations; what the younger one has met moves on when it is full, the rest is forgotten.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 _encoders: dict[str, CachedEncoder] = {}
 
 
