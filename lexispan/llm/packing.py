@@ -8,15 +8,19 @@ go to. A piece's rank among those of its length is its place within its write ta
 hold of that length. So tokens are never shuffled, no group of pieces meets in one task, and the plan's size is bounded by
 the square of the capacity, whatever the number of documents.
 
-Defined cases: null text counts as empty (one piece of the end id alone); very long texts give many pieces; repeated rows
-are packed each for itself; an empty table gives no pieces.
+Defined cases: null text counts as empty (one piece of the end id alone); very long texts are encoded in stretches cut at
+white space and give many pieces; null, equal and repeated ids are kept, each row's pieces numbered for itself, and repeated rows
+are packed each for itself; pieces of one length (ties) are interchangeable; columns other than id and text are not read, whatever
+their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,7 +103,7 @@ def read_offsets(uri: str, capacity: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, key: str, text: str, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """key, piece, start, length, ids (unsigned 16-bit) and the place (task, local) of a piece among those of its length."""
+    """key, piece, start, length, ids (unsigned 16-bit), ids_crc32 and the place (task, local) of a piece among those of its length."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
@@ -107,26 +111,30 @@ def pieces(docs: DataFrame, key: str, text: str, vocabulary: str, end_id: int, c
         from pyspark import TaskContext
 
         task, seen, e = TaskContext.get().partitionId(), Counter(), encoder(vocabulary)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        schema = pa.schema(list(zip(("key", "piece", "start", "length", "ids", "ids_crc32", "local", "task"), types, strict=True)))
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part, cols = b.slice(k, 512), [[] for _ in range(6)]
-                for i, ids in zip(part.column(0).to_pylist(), e.ids([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 2 * capacity)):
-                        own = ids[at : at + 2 * capacity]
-                        n = len(own) // 2
-                        for c, v in zip(cols, (i, p, at // 2, n, own, seen[n]), strict=True):
-                            c.append(v)
-                        seen[n] += 1
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array([task] * len(cols[0]), pa.int32())], names=["key", "piece", "start", "length", "ids", "local", "task"])
+            rows: list[tuple] = []
+            size = 0
+            for i, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1), end), strict=True):
+                for p, at in enumerate(range(0, len(ids), 2 * capacity)):
+                    own = ids[at : at + 2 * capacity]
+                    n = len(own) // 2
+                    rows.append((i, p, at // 2, n, own, crc32_ids(np.frombuffer(own, "<u2")), seen[n], task))
+                    seen[n] += 1
+                size += len(ids)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key bigint, piece int, start bigint, length bigint, ids binary, local bigint, task int")
+    return rows.mapInArrow(run, "key bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, local bigint, task int")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: key, piece, start, length, ids, sequence_id, offset."""
+    """One row for each piece: key, piece, start, length, ids, ids_crc32, sequence_id, offset."""
     done = cut(pieces(docs, key, text, vocabulary, end_id, capacity), "op7-pieces")
     counts = cut(done.groupBy("length", "task").agg(F.count("*").alias("n")), "op7-counts")
     # at most `capacity` rows
@@ -137,12 +145,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     offsets = new_path(docs.sparkSession, "op7-offsets")
     before.select("task", "length", "before").repartition("task").write.partitionBy("task").parquet(offsets)
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
-        for b in batches:
-            length, local, task = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "local", "task"))
+        for b in columns:
+            length, local, task = (c.to_numpy() for c in b)
             rank = local.copy()
             for k in np.unique(task):
                 if k not in known:
@@ -155,19 +161,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
                 k = np.searchsorted(start, rank[at], "right") - 1
                 turn = rank[at] - start[k]
                 bins[at], offset[at] = first[k] + turn // copies[k], place[k] + turn % copies[k] * n
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in ("key", "piece", "start", "length", "ids")], pa.array(bins), pa.array(offset)], names=["key", "piece", "start", "length", "ids", "sequence_id", "offset"])
+            yield pd.DataFrame({"sequence_id": bins, "offset": offset})
 
-    return done.mapInArrow(run, "key bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
+    # only lengths and ranks go to Python here; ids stay where they are, and aren't read where they aren't asked for
+    place = F.pandas_udf(run, "sequence_id bigint, offset bigint")
+    return done.withColumn("_p", place("length", "local", "task")).select("key", "piece", "start", "length", "ids", "ids_crc32", "_p.sequence_id", "_p.offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(documents(spark, sf_dir))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            crc = pa.array([crc32_ids(np.frombuffer(x, "<u2")) for x in b.column(4).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], crc, b.column(5), b.column(6)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return packed.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return pack(documents(spark, sf_dir)).drop("ids").withColumnRenamed("key", "doc_id")

@@ -16,20 +16,24 @@ Values are ids as little-endian unsigned 16-bit integers. A table is a folder of
 for each shard). Each write attempt has a file name of its own and only the manifest makes a file part of the
 table, so tasks that are repeated after the loss of an executor do no harm.
 
-Defined cases: null text counts as empty (only the end id is stored); null identifiers sort before all others; repeated
-identifiers are kept side by side, ordered by the hash of their text; an empty table gives a manifest without rows.
+Defined cases: null text counts as empty (only the end id is stored); very long texts are encoded in stretches cut at white space
+and stored whole; null identifiers sort before all others; repeated identifiers (ties) are kept side by side, ordered by the hash of
+their text, and repeated rows are each stored; columns other than identifier and text are not read, whatever their names; an
+empty table gives a manifest without rows.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import crc32_ids, cut, documents, filesystem, new_path
@@ -72,11 +76,14 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_places(key: bytes, bits: int) -> list[int]:
+def _bloom_hashes(key: bytes) -> tuple[int, int]:
     import xxhash
 
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
+    return h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
+
+
+def _bloom_places(a: int, b: int, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
@@ -90,7 +97,7 @@ class Writer:
         self.at = self.n = self.ids = 0
         self.block, self.restarts, self.last, self.in_block = bytearray(), [], b"", 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[bytes] = []
+        self.hashes = array("Q")  # two numbers for each key: where its bits lie in the filter
 
     def add(self, key: bytes, value: bytes) -> None:
         shared = 0
@@ -102,7 +109,7 @@ class Writer:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         if not self.n or key != self.last:
-            self.hashes.append(key)
+            self.hashes.extend(_bloom_hashes(key))
         self.last, self.in_block, self.n, self.ids = key, self.in_block + 1, self.n + 1, self.ids + len(value) // 2
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
@@ -121,10 +128,10 @@ class Writer:
     def finish(self) -> None:
         self._end_block()
         index = self._put(b"".join(_varint(len(k)) + k + _varint(a) + _varint(n) for k, a, n in self.index))
-        bits = max(64, len(self.hashes) * BLOOM_BITS)
+        bits = max(64, len(self.hashes) // 2 * BLOOM_BITS)
         bloom = bytearray((bits + 7) // 8)
-        for k in self.hashes:
-            for p in _bloom_places(k, bits):
+        for k in range(0, len(self.hashes), 2):
+            for p in _bloom_places(self.hashes[k], self.hashes[k + 1], bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         places = self._put(struct.pack("<Q", bits) + bytes(bloom))
         self._put(_FOOTER.pack(*index, *places, self.n, self.ids, _MAGIC))
@@ -158,6 +165,12 @@ class Shard:
         self.file.seek(at)
         return self.file.read(n)
 
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def _block(self, k: int) -> tuple[bytes, list[int], int]:
         data = self.unpack.decompress(self._read(*self.places[k]))
         n = struct.unpack_from("<I", data, len(data) - 4)[0]
@@ -177,7 +190,7 @@ class Shard:
             at += n
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self.bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(*_bloom_hashes(key), self.bits))
 
     def get(self, key: bytes) -> list[bytes]:
         """All values of a key, by bisection over blocks and over the restarts of the first that can hold it."""
@@ -233,77 +246,80 @@ def write_table(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "tex
         def entries():
             e = encoder(vocabulary)
             for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    part = b.slice(k, 256)
-                    for i, v in zip(part.column(0).to_pylist(), e.ids([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                        yield i, v + end
+                yield from zip(b.column(0).to_pylist(), e.encode(b.column(1), end), strict=True)
 
         shard = TaskContext.get().partitionId()
         if got := write_shard(f"{uri}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.sst", entries()):
             yield pa.RecordBatch.from_pylist([got | {"shard": shard}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     manifest = rows.mapInArrow(run, "shard int, path string, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint")
-    manifest.write.parquet(f"{uri}/manifest")
+    manifest.repartition(1).write.parquet(f"{uri}/manifest")  # a row for each shard, in one file
     return docs.sparkSession.read.parquet(f"{uri}/manifest")
 
 
-def read_table(manifest: DataFrame) -> DataFrame:
-    """All documents of a table from its shards: key, start (ids before it in the table), ids (binary, unsigned 16-bit)."""
+def scan_table(manifest: DataFrame, schema: str, make: Callable[[int | None, int, bytes], tuple]) -> DataFrame:
+    """make(key, start, ids) for every document of a table, read from its shards; start counts the ids before it in the table."""
+    # a row for each shard
     starts = cut(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "start"), "op1-starts")
     n = max(1, starts.count())
+    out = T.StructType.fromDDL(schema)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+        fields = to_arrow_schema(out)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields)
         for b in batches:
             for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
                 size = 0
-                for k, v in Shard(path):
-                    rows.append((key_value(k), at, v))
-                    at, size = at + len(v) // 2, size + len(v)
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows, size = [], 0
+                with Shard(path) as shard:
+                    for k, v in shard:
+                        rows.append(make(key_value(k), at, v))
+                        at, size = at + len(v) // 2, size + len(v)
+                        if size > 1 << 22:
+                            yield batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield batch(rows)
+
+    return starts.repartition(n).mapInArrow(run, out)
+
 
-    return starts.repartition(n).mapInArrow(run, "key bigint, start bigint, ids binary")
+def read_table(manifest: DataFrame) -> DataFrame:
+    """All documents of a table from its shards: key, start (ids before it in the table), ids (binary, unsigned 16-bit)."""
+    return scan_table(manifest, "key bigint, start bigint, ids binary", lambda k, at, v: (k, at, v))
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """The documents of given keys: bisection over the shards' ranges, then over a shard's blocks and restarts.
 
-    The ranges (one row for each shard, not for each document) go to every task."""
+    The ranges (one row for each shard, not for each document) go to every task. Keys are sorted within a task, so that
+    a shard is opened once, and one alone is open at a time."""
     ranges = sorted((key_bytes(r.last_key), key_bytes(r.first_key), r.path) for r in manifest.select("last_key", "first_key", "path").toLocalIterator())
     asked = keys.select(F.col(key).cast("bigint").alias("key")).distinct()
 
     def run(batches):
         import pyarrow as pa
 
-        last, opened = [x[0] for x in ranges], {}
+        last = [x[0] for x in ranges]
         for b in batches:
-            out = []
+            wanted: dict[int, list] = {}
             for k in b.column(0).to_pylist():
                 i, kb = bisect_left(last, key_bytes(k)), key_bytes(k)
                 while i < len(ranges) and ranges[i][1] <= kb:
-                    path = ranges[i][2]
-                    out += [(k, v) for v in (opened.get(path) or opened.setdefault(path, Shard(path))).get(kb)]
+                    wanted.setdefault(i, []).append((k, kb))
                     i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "ids"])
+            for i, own in sorted(wanted.items()):
+                with Shard(ranges[i][2]) as shard:
+                    out = [(k, v) for k, kb in own for v in shard.get(kb)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "ids"])
 
-    return asked.mapInArrow(run, "key bigint, ids binary")
+    return asked.sortWithinPartitions("key").mapInArrow(run, "key bigint, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_table(documents(spark, sf_dir), new_path(spark, "op1-table"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            ids = [np.frombuffer(x, "<u2") for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([crc32_ids(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_table(manifest).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    digest = lambda k, at, v: (k, at, len(v) // 2, crc32_ids(np.frombuffer(v, "<u2")))
+    return scan_table(manifest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", digest)
