@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of one length."""
-    return packing.pack(docs).withColumnRenamed("key", "doc_id")
+    return packing.pack(docs).withColumnRenamed("key", "doc_id").drop("ids_crc32")
 
 
 STAGES = [
