@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dartminhash, divergence, fmindex, imatch, mixing, packing, secrets, sstable, transducer
+from . import dartminhash, divergence, fmindex, imatch, mixing, packing, secrets, sstable, transducer, warc
 
 QUERIES = {
     "op1_sorted_string_table": sstable.query,
+    "op2_revisit_resolution": warc.query,
     "op3_imatch": imatch.query,
     "op4_dartminhash": dartminhash.query,
     "op5_distribution_divergence": divergence.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_revisit_resolution": warc.ORACLE,
     "op5_distribution_divergence": divergence.ORACLE,
     "op8_hierarchical_budgets": mixing.ORACLE,
 }

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispan.llm import dartminhash, divergence, encoders, fmindex, imatch, mixing, packing, registry, secrets, sstable, transducer
+from lexispan.llm import dartminhash, divergence, encoders, fmindex, imatch, mixing, packing, registry, secrets, sstable, transducer, warc
 from lexispan.llm.common import documents, new_path, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string"
@@ -330,3 +330,92 @@ def test_encoder_is_the_library(name, rows):
 
 def test_documents_reader(spark, sf_dir):
     assert documents(spark, sf_dir).columns[:2] == ["doc_id", "text"]
+
+
+# 2
+
+RECORDS = "record_id string, type string, url string, date long, status int, headers array<struct<name:string,value:string>>, verdict string, part int, u string"
+
+
+def brute_revisits(rows):
+    """What resolve() must say of (id, type, key, date, status, headers)."""
+    head = lambda h, n: next((v for k, v in h or () if k.lower() == n), None)
+    out = []
+    for i, kind, key, date, status, h in rows:
+        if kind == "response" and status == 200:
+            out.append((i, "full", None, h or []))
+            continue
+        if kind != "revisit":
+            out.append((i, "other", None, None))
+            continue
+        before = [r for r in rows if r[1] == "response" and r[4] == 200 and key and r[2] == key and None not in (date, r[3]) and r[3] < date]
+        if not before:
+            out.append((i, "no_earlier_response", None, None))
+            continue
+        t = max(before, key=lambda r: (r[3], r[0]))
+        agree = None
+        if head(h, "etag") and head(t[5], "etag"):
+            agree = head(h, "etag").removeprefix("W/") == head(t[5], "etag").removeprefix("W/")
+        elif head(h, "last-modified") and head(t[5], "last-modified"):
+            agree = head(h, "last-modified") == head(t[5], "last-modified")
+        new = [x for x in h or () if x[0].lower() in warc.PERMITTED]
+        merged = [x for x in t[5] or () if x[0].lower() not in {k.lower() for k, _ in new}] + new
+        out.append((i, "unverified", t[0], None) if agree is None else (i, "resolved", t[0], merged) if agree else (i, "validator_mismatch", None, None))
+    return out
+
+
+def test_revisits(spark):
+    import random
+
+    r, rows = random.Random(4), []
+    keys = ["hot.org/x", "a.org", None]
+    for n in range(400):
+        key = r.choices(keys, [6, 2, 1])[0]
+        kind, status = r.choice([("response", 200), ("revisit", 304), ("revisit", 304), ("response", 404), ("request", None)])
+        h = r.choice([None, [("ETag", f'"{r.randint(0, 1)}"'), ("Content-Length", "9"), ("Date", str(n))], [("etag", f'W/"{r.randint(0, 1)}"'), ("Last-Modified", "m")], [("Last-Modified", r.choice("mn")), ("Set-Cookie", "c"), ("Vary", "a"), ("vary", "b")]])
+        rows.append((f"i{n:03d}", kind, key, r.choice([None, *range(30)]), status, h))
+    spelt = {"hot.org/x": ["http://www.HOT.org/x/", "https://hot.org:443/x?utm_a=1#q", "hot.org/x"], "a.org": ["http://u:p@a.org", "https://A.org/"], None: [None, "", "/only/path"]}
+    made = [(i, k, r.choice(spelt[u]), d, s, h, "v", 1, "u") for i, k, u, d, s, h in rows]
+    df = spark.createDataFrame(made, RECORDS).repartition(5)
+    got = warc.resolve(df)
+    assert got.columns == [c for c in df.columns if c != "verdict"] + ["canonical_url", "verdict", "target_id", "target_date", "merged_headers"]
+    found = {x.record_id: (x.record_id, x.verdict, x.target_id, None if x.merged_headers is None else [tuple(h) for h in x.merged_headers]) for x in got.collect()}
+    want = brute_revisits(rows)
+    assert len(found) == len(want) and {v for _, v, *_ in want} == {"full", "other", "no_earlier_response", "unverified", "resolved", "validator_mismatch"}
+    assert [found[w[0]] for w in want] == want
+    assert {(x.part, x.u) for x in got.collect()} == {(1, "u")}
+    twice = warc.resolve(df.unionByName(df)).filter("verdict = 'resolved'").count()
+    assert twice == 2 * sum(w[1] == "resolved" for w in want)
+    assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_canonical_urls(spark):
+    cases = {"HTTP://WWW2.Example.com:80/A/b//?b=2&utm_source=x&a=1#f": "example.com/A/b?a=1&b=2", "https://x.org:8443/p;jsessionid=1?sid=3": "x.org:8443/p", "ftp://x.org./": "x.org", "mailto": "mailto", "": None, "?q": None}
+    df = spark.createDataFrame([(k,) for k in cases], "url string")
+    assert {r.url: r.c for r in df.withColumn("c", warc.canonical(F.col("url"))).collect()} == cases
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    records = [
+        {"record_id": "<urn:1>", "type": "response", "url": "http://a.org/", "date": "2024-01-01T00:00:00Z", "profile": None, "status": 200, "headers": [("ETag", '"x"'), ("Date", "d1")], "payload": b"body \r\n\r\n WARC/1.1 \0"},
+        {"record_id": "<urn:2>", "type": "revisit", "url": "https://www.a.org", "date": "2024-01-01T00:00:00.5Z", "profile": "http://netpreserve.org/warc/1.1/revisit/server-not-modified", "status": 304, "headers": [("ETag", 'W/"x"'), ("Date", "d2")], "payload": b""},
+        {"record_id": "<urn:3>", "type": "metadata", "url": None, "date": "2024-01-02T00:00:00Z", "profile": None, "status": None, "headers": [], "payload": b"m"},
+        {"record_id": "<urn:4>", "type": "revisit", "url": "http://a.org/", "date": "2024-01-03T00:00:00Z", "profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "status": 200, "headers": [], "payload": b""},
+    ]
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        for r in records:
+            with gzip.GzipFile(fileobj=f, mode="wb") as z:
+                warc.write(z, [r])
+    with open(tmp_path / "b.warc", "wb") as f:
+        f.write(b"\r\n")
+        warc.write(f, records)
+        f.write(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
+    for name in ("a.warc.gz", "b.warc"):
+        df = warc.read(spark, spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "uri string")).cache()
+        got = df.collect()
+        assert [(r.record_id, r.type, r.url, r.status, [tuple(h) for h in r.headers], bytes(r.payload)) for r in got] == [(r["record_id"], r["type"], r["url"], r["status"], r["headers"], r["payload"]) for r in records]
+        done = {r.record_id: r for r in warc.with_payload(warc.resolve(df.drop("payload")), df).collect()}
+        assert [done[r["record_id"]].verdict for r in records] == ["full", "resolved", "other", "other"]
+        assert bytes(done["<urn:2>"].payload) == records[0]["payload"] and [tuple(h) for h in done["<urn:2>"].merged_headers] == [("ETag", 'W/"x"'), ("Date", "d2")]
