@@ -20,9 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where none is set and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexispan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -54,6 +56,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows of one key from which on a join deals them out, and the number of such keys that there can be at most.
+HOT_ROWS, HOT_KEYS = 1024, 8192
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row at most for each key; sizes (key, n), written already, has the rows of left by key.
+
+    Rows of a key that has more than its share are dealt out by a hash of `by`, and right's row goes along to each of these parts. Keys
+    with over total / HOT_KEYS rows are fewer than HOT_KEYS, so their list may be broadcast whatever the input."""
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit:
+        return left.join(right, key, how)
+    hot = F.broadcast(sizes.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def words_column(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, null giving none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")
@@ -158,10 +179,10 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()) & 0xFFFFFFFF
 
 
-def with_computed(df: DataFrame, inputs: list[str], fields: dict[str, str], make) -> DataFrame:
+def with_computed(df: DataFrame, inputs: list[str], fields: dict[str, str], make, arrow: bool = False) -> DataFrame:
     """df with columns that make(*lists of input values) returns as a list of lists or arrays, batch by batch in Python.
 
-    All other columns pass through as Arrow data; a column of df that has the name of a new one is replaced."""
+    With arrow set, make gets Arrow arrays instead of lists. All other columns pass through as Arrow data; a column of df that has the name of a new one is replaced."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -175,7 +196,8 @@ def with_computed(df: DataFrame, inputs: list[str], fields: dict[str, str], make
 
         types = [to_arrow_type(f.dataType) for f in extra]
         for b in batches:
-            made = make(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs])
+            given = [b.column(b.schema.get_field_index(c)) for c in inputs]
+            made = make(*(given if arrow else [c.to_pylist() for c in given]))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types, strict=True)], names=schema.names)
 
     return base.mapInArrow(run, schema)
