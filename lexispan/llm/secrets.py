@@ -4,8 +4,9 @@ A candidate is reported only if it parses: base64 and hex text is decoded and mu
 lengths fill it exactly and that looks like a key (integers, or an algorithm identifier), or an SSH key blob of
 length-prefixed fields; PEM blocks must hold such a body; signed tokens must have a JSON header with "alg" and a JSON payload.
 
-Defined cases: null text counts as empty (no spans); very long texts are scanned whole; repeated rows give one
-row each; input columns pass through unless they have the name of an output column.
+Defined cases: null text counts as empty (no spans) and stays null when masked; very long texts are scanned whole; spans of one
+start (ties) come in the order of KINDS, then by their end; equal texts and repeated rows give one row each; columns pass through unless
+they have the name of an output column, which replaces them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _ANYHEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A brace and a quotation mark or white space after it, encoded, begin a token's header.
+_JWT = re.compile(r"e[wy][A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
 
 
@@ -90,19 +92,47 @@ def is_der_key(data: bytes) -> bool:
     )
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether data is an SSH public key blob or an OpenSSH private key: length-prefixed fields that fill it."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        return len(data) > len(magic) + 16
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def length_prefixed(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Fields, each after its length in four bytes, from `at` on (at most so many) and where they end; None if one runs over the end."""
+    fields: list[bytes] = []
+    while at < len(data) and (most is None or len(fields) < most):
         n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
-            return False
+        if at + 4 + n > len(data):
+            return None
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+", fields[0]))
+    return fields, at
+
+
+_SSH_NAME = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+")
+
+
+def is_ssh_public(data: bytes) -> bool:
+    """Whether data is an SSH public key blob: length-prefixed fields that fill it, a key type's name the first."""
+    found = length_prefixed(data, 0)
+    return bool(found) and len(found[0]) >= 2 and bool(_SSH_NAME.fullmatch(found[0][0]))
+
+
+def is_ssh_private(data: bytes) -> bool:
+    """Whether data is an OpenSSH private key: cipher, key derivation and its options, the number of keys, that many public keys,
+    and a private section in whole cipher blocks that ends the data, which without a cipher begins with a number written twice."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic) or not (found := length_prefixed(data, len(magic), 3)) or len(found[0]) < 3:
+        return False
+    (cipher, derivation, options), at = found
+    if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or (cipher == b"none") != (derivation == b"none") or derivation == b"none" and options:
+        return False
+    n = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= n <= 16 or not (found := length_prefixed(data, at + 4, n + 1)) or len(found[0]) != n + 1 or found[1] != len(data):
+        return False
+    *public, private = found[0]
+    if not all(map(is_ssh_public, public)) or len(private) < 8 or len(private) % 8:
+        return False
+    return cipher != b"none" or private[:4] == private[4:8]
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return is_ssh_public(data) or is_ssh_private(data)
 
 
 def decode64(text: str) -> bytes | None:
@@ -148,7 +178,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         out += [(at + m.start(), at + m.end(), "hex") for m in _HEX.finditer(run) if m.end() - m.start() >= 16]
         if len(run) < 24 or any(a <= at < b for a, b in pem):
             continue
-        found = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(run) if is_signed_token(m[0])] if "eyJ" in run else []
+        found = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(run) if is_signed_token(m[0])] if "." in run and ("ey" in run or "ew" in run) else []
         for m in _ANYHEX.finditer(run):
             if len(m[0]) % 2 == 0 and (k := key_kind(bytes.fromhex(m[0]))):
                 found.append((*m.span(), k))
