@@ -6,12 +6,14 @@ it can't use goes to its siblings by their weights; only what a whole subtree ca
 is one closed form a level: with children ordered by capacity over weight, those that are full are a prefix of the order.
 
 A leaf's budget is spent in epochs. Epochs that fit whole take every document; the last takes a prefix of the tokens
-in the order of a seeded hash, the last document in part. The prefix is found in two steps: tokens
-are summed in hash ranges, and only the range in which the budget ends is put in order, so no leaf, however large, is sorted.
-
-Defined cases: null text has no tokens; null or unknown domains, languages and sources are nodes of their own with the
-default weight; a weight of 0 gives nothing; rows with equal ids are told apart by their tokens, and equal rows are
-interchangeable; an empty table gives an empty result.
+in the order of a seeded hash of identifier and text, the last document in part. The prefix is found step by step: tokens are summed
+in RANGES ranges of the hash, then in ranges of the one in which the budget ends, STEPS times, and only what shares the last of them
+is put in order. So no leaf, however large, is sorted, and no window holds more than RANGES rows of a leaf.
+
+Defined cases: null text has no tokens, and very long texts are counted whole; null or unknown domains, languages and sources are nodes
+of their own with the default weight; a weight of 0 gives nothing; null and equal identifiers are told apart by their texts, rows of
+one hash (ties) come in the order of their tokens, and equal rows are interchangeable; columns pass through whatever their names, but for
+those with the name of an output column of choose, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ WEIGHTS = {"domain": {"web": 50, "forum": 30, "reference": 20}, "lang": {"en": 5
 DEFAULT_WEIGHT = 10
 #: Budget of all leaves in hundredths of the tokens there are, and how often a document may be taken.
 PERCENT, EPOCHS, SEED = 90, 2, 17
-RANGE_DIGITS = 3
+#: Bits of the hash that are used, ranges a step, and steps.
+BITS, RANGES, STEPS = 60, 256, 3
+MADE = ("_domain", "_lang", "_source", "_tokens", "_copies", "_taken")
 
 
 def spark_domain() -> Column:
@@ -68,37 +72,52 @@ def budgets(leaves: DataFrame, percent: int, epochs: int) -> DataFrame:
     return leaves.join(a3.select(*LEVELS, F.col("amount").alias("budget")), list(LEVELS), "left").select(*LEVELS, "tokens", F.coalesce("budget", F.lit(0)).alias("budget"))
 
 
-def choose(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with _domain, _lang, _source, _tokens, _copies (epochs that take the document, in part or whole) and _taken (tokens taken in all)."""
-    names = dict(zip(LEVELS, ("_domain", "_lang", "_source"), strict=True))
-    df = docs.withColumns({"_domain": spark_domain(), "_lang": F.coalesce(F.col(lang), F.lit("")), "_source": F.coalesce("source", F.lit("")), "_tokens": F.size(words_column(F.col(text))).cast("bigint")})
-    leaves = cut(df.groupBy(*names.values()).agg(F.sum("_tokens").alias("tokens")).select(*[F.col(v).alias(k) for k, v in names.items()], "tokens"), "op8-leaves")
-    plan = budgets(leaves, percent, epochs).select(*[F.col(k).alias(v) for k, v in names.items()], F.expr("if(tokens > 0, budget div tokens, 0)").alias("_whole"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("_rest"))
+def _chosen(docs: DataFrame, key: str, text: str, lang: str, percent: int, epochs: int, seed: int) -> DataFrame:
+    """r (the row of docs), domain, lang, source, tokens, copies and taken."""
+    leaf = list(LEVELS)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("r"), spark_domain().alias("domain"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        F.size(words_column(F.col(text))).cast("bigint").alias("tokens"), F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("name"),
+    )
+    leaves = cut(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), "op8-leaves")
+    plan = budgets(leaves, percent, epochs).select(*leaf, F.expr("if(tokens > 0, budget div tokens, 0)").alias("whole"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("rest"))
     plan = cut(plan, "op8-plan")  # a row for each leaf; written, so that Spark sees its size before it plans the join
-    df = df.join(plan, list(names.values()))
-    df = df.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    df = df.withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
-
-    leaf = list(names.values())
-    sums = df.filter("_rest > 0").groupBy(*leaf, "_range", "_rest").agg(F.sum("_tokens").alias("n"))
-    w = Window.partitionBy(*leaf).orderBy("_range")
-    ends = sums.withColumn("_before", F.sum("n").over(w) - F.col("n")).filter("_before < _rest AND _before + n >= _rest").select(*leaf, F.col("_range").alias("_end"), "_before")
-    ends = cut(ends, "op8-ends")  # a row for each leaf
-    df = df.join(ends, leaf, "left")
-    inside = F.coalesce(F.col("_range") < F.col("_end"), F.lit(False))
-    at_end = F.coalesce(F.col("_range") == F.col("_end"), F.lit(False))
-    settled = df.filter(~at_end).withColumn("_part", F.when(inside, F.col("_tokens")).otherwise(F.lit(0)).cast("bigint")).withColumn("_in", inside)
-    w = Window.partitionBy(*leaf).orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = df.filter(at_end).withColumn("_so", F.col("_before") + F.coalesce(F.sum("_tokens").over(w), F.lit(0)))
-    last = last.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_tokens"), F.col("_rest") - F.col("_so"))).cast("bigint")).withColumn("_in", F.col("_so") < F.col("_rest")).drop("_so")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("name")))
+    rows = rows.join(plan, leaf).withColumn("place", F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("bigint")).drop("name")
+
+    # numbers alone: what the steps read again and again
+    light = cut(rows.filter("rest > 0").select(*leaf, "rest", "place", "tokens"), "op8-places")
+    ends = cut(plan.filter("rest > 0").select(*leaf, F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("before")), "op8-ends")
+    width, step = BITS, RANGES.bit_length() - 1
+    for _ in range(STEPS):
+        inside = light.join(ends, leaf).filter(F.shiftright("place", width) == F.col("end"))
+        width -= step
+        sums = inside.groupBy(*leaf, "rest", "before", F.shiftright("place", width).alias("range")).agg(F.sum("tokens").alias("n"))
+        w = Window.partitionBy(*leaf).orderBy("range")
+        so_far = sums.withColumn("so", F.col("before") + F.sum("n").over(w) - F.col("n"))
+        # a row for each leaf
+        ends = cut(so_far.filter("so < rest AND so + n >= rest").select(*leaf, F.col("range").alias("end"), F.col("so").alias("before")), "op8-ends")
+    rows = rows.join(ends, leaf, "left")
+    own = F.shiftright("place", width)
+    inside, at_end = F.coalesce(own < F.col("end"), F.lit(False)), F.coalesce(own == F.col("end"), F.lit(False))
+    settled = rows.filter(~at_end).withColumns({"part": F.when(inside, F.col("tokens")).otherwise(F.lit(0)).cast("bigint"), "in": inside})
+    w = Window.partitionBy(*leaf).orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter(at_end).withColumn("so", F.col("before") + F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    last = last.withColumns({"part": F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - F.col("so"))).cast("bigint"), "in": F.col("so") < F.col("rest")}).drop("so")
     out = settled.unionByName(last)
-    return out.withColumns({"_copies": F.col("_whole") + F.col("_in").cast("bigint"), "_taken": F.col("_whole") * F.col("_tokens") + F.col("_part")}).drop("_whole", "_rest", "_order", "_range", "_end", "_before", "_part", "_in")
+    return out.select("r", *leaf, "tokens", (F.col("whole") + F.col("in").cast("bigint")).alias("copies"), (F.col("whole") * F.col("tokens") + F.col("part")).alias("taken"))
+
+
+def choose(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs with _domain, _lang, _source, _tokens, _copies (epochs that take the document, in part or whole) and _taken (tokens taken in all)."""
+    out = _chosen(docs, key, text, lang, percent, epochs, seed)
+    return out.select(*[F.col("r").getField(c).alias(c) for c in docs.columns if c not in MADE], *[F.col(c[1:]).alias(c) for c in MADE])
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """docs with each document as often as its leaf's epochs take it; one taken in part stays whole. Columns are those of docs."""
-    chosen = choose(docs, **options).filter("_copies > 0")
-    return chosen.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(docs.columns)
+    chosen = _chosen(docs, key, text, lang, percent, epochs, seed).filter("copies > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +137,7 @@ def _share_sql(name: str, source: str, parent: str, key: str) -> str:
 
 _DOMAIN = DOMAIN_SQL.format(match="regexp_matches(source, '^[a-z]+[0-9]{1,6}$')", number="regexp_extract(source, '([0-9]+)$', 1)")
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 l AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {EPOCHS})::BIGINT AS cap, {weight_sql("domain")} AS w_domain, {weight_sql("lang")} AS w_lang, {weight_sql("source")} AS w_source FROM d GROUP BY domain, lang, source),
 t AS (SELECT least(sum(tokens) * {PERCENT} // 100, sum(cap)) AS amount FROM l),
@@ -129,7 +148,7 @@ n2 AS (SELECT l.domain, l.lang, sum(l.cap) AS cap, max(w_lang) AS weight, any_va
 n3 AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap, l.w_source AS weight, s2.amount FROM l JOIN s2 USING (domain, lang)),
 {_share_sql("s3", "n3", "domain, lang", "source")},
 p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN amount // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN amount % tokens ELSE 0 END AS rest FROM s3),
-o AS (SELECT d.*, p.whole, p.rest, md5('{SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS h FROM d JOIN p USING (domain, lang, source)),
+o AS (SELECT d.*, p.whole, p.rest, left(md5('{SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 15) AS h FROM d JOIN p USING (domain, lang, source)),
 c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4 FROM o)
 SELECT doc_id, domain, lang, source, n_tokens, (whole + (b4 < rest)::INT)::BIGINT AS copies, (whole * n_tokens + greatest(0, least(n_tokens, rest - b4)))::BIGINT AS tokens_taken FROM c
 """
