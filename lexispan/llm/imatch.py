@@ -11,12 +11,14 @@ at least MIN_SUBSETS do (the densest, if none): small subsets tell long texts ap
 The lexicon's size is bounded whatever the corpus: each of its terms is in at least MIN_SHARE of the documents, so it has at
 most (distinct terms a document) / MIN_SHARE terms. It is broadcast if it also has at most MAX_BROADCAST_TERMS, else joined.
 
-Neighbours in the order of ids come from a window over ranges of ids: quantile bounds give the ranges, and each range also
-gets the first row of the next. Texts are shuffled once, by range; terms never are, except as counts for the lexicon.
-
-Defined cases: null text counts as empty; a text without lexicon terms has an empty fingerprint, and two such have
-likeness 1 if their texts are equal, else 0; null ids come first in the order; rows with equal ids are ordered by the hash of their text;
-a single row is its own next; an empty table gives an empty result.
+Neighbours in the order of ids come from a window over ranges of (id, hash of the text): quantiles of the ids give the ranges, an
+id that fills several quantiles is split by the hash, and each range also gets the first row of the next. Texts are shuffled once,
+by range; terms never are, except as counts for the lexicon.
+
+Defined cases: null text counts as empty; very long texts are read whole; a text without lexicon terms has an empty fingerprint, and two
+such have likeness 1 if their texts are equal, else 0; null ids come first in the order; rows with equal ids (ties) are ordered by the
+hash of their text, and equal rows are interchangeable and stand side by side; a single row is its own next; columns other than id and
+text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,29 +52,33 @@ def lexicon(docs: DataFrame, text: str, min_share: float, max_share: float) -> D
     return cut(inside.select("term", F.explode(held).alias("subset")), "op3-lexicon")
 
 
-def range_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below value, by bisection; bounds are ascending."""
+def range_of(value: Column, bounds: list[int], below: bool = False) -> Column:
+    """How many bounds are at or below value (with below set, below it), by bisection; bounds are ascending."""
     steps = [1 << s for s in reversed(range(len(bounds).bit_length()))]
     if not bounds:
         return F.lit(0)
     limits, n = F.lit(bounds).cast("array<bigint>"), len(bounds)
-    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(limits, at + s - 1) <= value), at + s).otherwise(at))
+    fits = lambda x: x < value if below else x <= value
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when((at + s <= n) & fits(F.get(limits, at + s - 1)), at + s).otherwise(at))
 
 
 def with_neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:
     """part, place (its rank within part), key, text, next text; the first row of the next part stands last in each part, as guest."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("k", F.coalesce("key", F.lit(_LEAST)))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumns({"k": F.coalesce("key", F.lit(_LEAST)), "h": F.xxhash64("text")})
     n = 4 * partitions(docs.sparkSession)
     # one row with n numbers
-    bounds = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000).alias("b")).first().b or []))
-    rows = rows.withColumn("part", range_of(F.col("k"), bounds))
-    least = cut(rows.groupBy("part").agg(F.min("k").alias("k")), "op3-parts")  # a row for each part, n at most
+    bounds = sorted(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000).alias("b")).first().b or [])
+    # an id that is a bound m times is dealt to m + 1 parts, by the upper half of the hash as a number from 0 on
+    low, high = range_of(F.col("k"), bounds, below=True), range_of(F.col("k"), bounds)
+    share = F.expr("cast(shiftright((shiftright(h, 32) + 2147483648L) * (_high - _low + 1), 32) as int)")
+    rows = rows.withColumns({"_low": low, "_high": high}).withColumn("part", F.col("_low") + share).drop("_low", "_high")
+    least = cut(rows.groupBy("part").agg(F.min(F.struct("k", "h")).alias("f")).select("part", "f.*"), "op3-parts")  # a row for each part, n at most
     order = Window.orderBy("part")
     least = least.withColumn("to", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy(F.lit(0)))))
-    guests = rows.join(F.broadcast(least), ["part", "k"]).groupBy("part", "to").agg(F.min(F.struct("k", F.xxhash64("text").alias("h"), "key", "text")).alias("r"))
-    guests = cut(guests.select(F.col("to").alias("part"), "r.key", "r.k", "r.text", F.lit(True).alias("guest")), "op3-guests")
-    every = rows.select("part", "key", "k", "text", F.lit(False).alias("guest")).unionByName(guests)
-    w = Window.partitionBy("part").orderBy("guest", "k", F.xxhash64("text"))
+    guests = rows.join(F.broadcast(least), ["part", "k", "h"]).groupBy("part", "to").agg(F.min(F.struct("k", "h", "key", "text")).alias("r"))
+    guests = cut(guests.select(F.col("to").alias("part"), "r.key", "r.k", "r.h", "r.text", F.lit(True).alias("guest")), "op3-guests")
+    every = rows.select("part", "key", "k", "h", "text", F.lit(False).alias("guest")).unionByName(guests)
+    w = Window.partitionBy("part").orderBy("guest", "k", "h")
     return every.select("part", "key", "text", "guest", F.lead("text").over(w).alias("next"), F.row_number().over(w).alias("place"))
 
 
