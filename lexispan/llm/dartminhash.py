@@ -9,10 +9,13 @@ k ln k + 2k darts have come and every coordinate has one: work is k log k and th
 Documents with equal words are one node. Nodes whose signatures agree in a band share a bucket. In each bucket all nodes are
 held against its most connected one (a star, not all pairs); exact similarity decides. Buckets that still hold several
 components are then searched block by block for pairs of different components whose signatures agree enough, and
-those are decided exactly as well. Components of the links are the classes.
+those are decided exactly as well. Components of the links are the classes. Joins on nodes, buckets, centres and components deal out the
+rows of a key that has many (common.spread_join); everything else about a key is an aggregate that is combined before the shuffle.
 
 Defined cases: null text counts as empty; texts without words are copies of one another; texts of one to four words have the
-one shingle of all their words; repeated rows give one row each; null ids are kept and never become a class's id unless all its ids are null.
+one shingle of all their words; very long texts are read whole; repeated rows give one row each; null ids are kept and never become a
+class's id unless all its ids are null. Of copies (ties) the least id stays, of one id the least hash of the text, of equal rows any one.
+Columns other than id and text pass through one_of_each whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, joined_words, mix, slices
+from .common import cut, documents, joined_words, mix, slices, spread_join
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Agreement of signatures from which on a pair is decided exactly: 0.8 less 3.5 standard deviations.
-ESTIMATE = 0.68
+#: Agreement of signatures from which on a pair is decided exactly: 0.8 less 5 standard deviations.
+ESTIMATE = 0.62
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
 _LAYER = 2.0**-5
 
@@ -172,16 +175,17 @@ def verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
     shared = F.size(F.array_intersect("ea", "eb"))
     # the sizes alone rule out many
     near = F.least(F.size("ea"), F.size("eb")) >= threshold * F.greatest(F.size("ea"), F.size("eb"))
-    joined = pairs.join(x, "a").join(y, "b").filter(near)
+    sizes = cut(pairs.groupBy("b").agg(F.count("*").alias("n")), "op4-centres")
+    joined = spread_join(pairs.join(x, "a"), y, "b", ["a"], sizes).filter(near)
     return joined.withColumn("s", shared).filter(F.col("s") >= threshold * (F.size("ea") + F.size("eb") - F.col("s"))).select("a", "b")
 
 
 def block_links(rows: DataFrame, threshold: float, estimate: float) -> DataFrame:
     """Links (a, b) between nodes of one bucket and different components.
 
-    rows: key, band, node, component, signature, elements, size and weight (nodes and elements of the bucket). A bucket is dealt out
+    rows: key, band, node, component, bands, signature, elements, size and weight (nodes and elements of the bucket). A bucket is dealt out
     as pairs of blocks of at most about BLOCK nodes and BLOCK_ELEMENTS elements, so a task's work is bounded whatever the bucket. A
-    pair is taken up in the first band that it shares, if its signatures agree enough, and decided exactly there: only links leave the task."""
+    pair is taken up in the first band whose hash it shares, if its signatures agree enough, and decided exactly there: only links leave the task."""
     import pandas as pd
 
     n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_ELEMENTS)).cast("int")
@@ -190,6 +194,7 @@ def block_links(rows: DataFrame, threshold: float, estimate: float) -> DataFrame
 
     def run(pdf):
         sig = np.frombuffer(b"".join(pdf["signature"]), "<u2").reshape(len(pdf), -1)
+        bands = np.stack(pdf["bands"].to_numpy())
         parts, block, band = pd.factorize(pdf["component"])[0], pdf["block"].to_numpy(), pdf["band"].iloc[0]
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         elements = [np.asarray(e) for e in pdf["elements"]]
@@ -201,8 +206,7 @@ def block_links(rows: DataFrame, threshold: float, estimate: float) -> DataFrame
             other = other[np.minimum(size[other], size[x]) >= threshold * np.maximum(size[other], size[x])]
             if not len(other):
                 continue
-            same = sig[other] == sig[x]
-            keep = (same.sum(axis=1) >= need) & (same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+            keep = ((bands[other] == bands[x]).argmax(axis=1) == band) & ((sig[other] == sig[x]).sum(axis=1) >= need)
             for y in other[keep]:
                 shared = len(np.intersect1d(elements[x], elements[y], assume_unique=True))
                 if shared >= threshold * (size[x] + size[y] - shared):
@@ -211,25 +215,28 @@ def block_links(rows: DataFrame, threshold: float, estimate: float) -> DataFrame
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"a": node[a] if a else [], "b": node[b] if b else []}, dtype=object)
 
-    return dealt.select("key", "band", "i", "j", "block", "node", "component", "signature", "elements").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
+    return dealt.select("key", "band", "i", "j", "block", "node", "component", "bands", "signature", "elements").groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
 def labelled_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, h (hash of the text) and component for every row of docs."""
+    """key, h (hash of the text) and component for every row of docs, written."""
     found = cut(sketched(docs, key, text), "op4-sketches")
     members = found.select("key", "h", "node")
-    nodes = found.dropDuplicates(["node"])
+    # a row for each node: its rows, and the one whose text is read for it
+    copies = cut(members.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("k"), "h")).alias("r")).select("node", "n", "r.*"), "op4-nodes")
+    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "node")
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = cut(banded.join(shared, "key"), "op4-buckets")  # nodes that share no bucket are done
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "op4-shared")
+    # nodes that share no bucket are done
+    buckets = cut(spread_join(banded, shared.withColumn("size", F.col("n")).drop("n"), "key", ["node"], shared), "op4-buckets")
 
     weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
-    star = buckets.join(centre, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    centre = cut(buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("b")), "op4-centre")
+    star = spread_join(buckets, centre, "key", ["node"], shared).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     star = cut(star, "op4-star")
 
     # one text for each node that shares a bucket
-    chosen = members.join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("k"), "h")).alias("r")).select("node", "r.*")
+    chosen = copies.join(weight.select("node"), "node", "left_semi").select("node", "k", "h")
     texts = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = texts.join(chosen, ["k", "h"]).select("node", "text")
     elements = cut(element_arrays(texts).dropDuplicates(["node"]), "op4-elements")
@@ -238,29 +245,32 @@ def labelled_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     part = cut(components(links), "op4-components")
     labelled = buckets.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = labelled.join(elements.select("node", F.size("elements").alias("n_elements")), "node")
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_elements").alias("weight")).filter("x <> y").select("key", "weight")
-    rest = labelled.join(open_keys, "key").join(nodes.select("node", "signature"), "node").join(elements, "node")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_elements").alias("weight"), F.count("*").alias("n")).filter("x <> y").select("key", "weight", "n")
+    open_keys = cut(open_keys, "op4-open")
+    rest = spread_join(labelled, open_keys.drop("n"), "key", ["node"], open_keys)
+    rest = rest.join(nodes, "node").join(elements, "node")
     more = cut(block_links(rest, threshold, ESTIMATE), "op4-more")
     part = cut(components(links.unionByName(more)), "op4-classes")
 
-    return members.join(part, "node", "left").select("key", "h", F.coalesce("component", "node").alias("component"))
+    out = spread_join(members, part, "node", ["key", "h"], copies.select("node", "n"), "left")
+    return cut(out.select("key", "h", F.coalesce("component", "node").alias("component")), "op4-labelled")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key and class_id (the least key of its class) for every row of docs."""
     rows = labelled_rows(docs, key, text, threshold)
-    least = rows.groupBy("component").agg(F.min("key").alias("class_id"))
-    return rows.join(least, "component").select("key", "class_id")
+    least = cut(rows.groupBy("component").agg(F.min("key").alias("class_id"), F.count("*").alias("n")), "op4-least")
+    return spread_join(rows, least.drop("n"), "component", ["key", "h"], least).select("key", "class_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the least id (null last), and of the least text hash if ids repeat."""
     rows = labelled_rows(docs, key, text, threshold)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h")).alias("r")
-    chosen = cut(rows.groupBy("component").agg(first).select(F.coalesce("r.key", F.lit(-(1 << 63))).alias("_k"), F.col("r.h").alias("_h")).distinct(), "op4-chosen")
-    named = docs.withColumns({"_k": F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))), "_h": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    chosen = cut(rows.groupBy("component").agg(first).select(F.coalesce("r.key", F.lit(-(1 << 63))).alias("k"), F.col("r.h").alias("h")).distinct(), "op4-chosen")
+    named = docs.select(F.struct(*docs.columns).alias("r"), F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"))
     # dropDuplicates needs what the join has dealt out already
-    return named.join(chosen, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(docs.columns)
+    return named.join(chosen, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
