@@ -7,15 +7,20 @@ dealt to shards by their minimizer, which brings together every two windows that
 A minimizer that is found once in the corpus rules its windows out. Those found again are marked in a bitmap in the shared
 folder, of 16 bits for each and BITMAP_BITS at most; what it lets through wrongly costs work, not correctness. Of segments with
 equal words only the earliest goes into a shard (each task leaves out those that it has sent earlier), so copies, however
-many, never meet in a task.
-
-Each shard becomes an FM-index: suffixes sorted by their first WINDOW words, their Burrows-Wheeler transform in a wavelet matrix of
-packed bits with block counts. Every window of the shard's segments is searched backwards, a word at a time, until it is found
-whole or only its own place is left (its matching statistic). A window found whole has an interval of suffixes, whose
-earliest document and start decide whether it repeats an earlier one. A segment whose earliest copy is elsewhere repeats it throughout.
-
-Defined cases: null text has no words; texts shorter than a window keep all; rows of one id are ordered by the hash of
-their text, and equal rows get the same result, neither being earlier than the other; null ids come first.
+many, never meet in a task. A second bitmap marks hot minimizers, found so often that their segments could fill an index: those segments
+go out window by window, each dealt by the hash of its own 20 words, so the different contexts of one common 6-gram spread over all shards
+and no index holds much more than INDEX_WORDS.
+
+Each index is an FM-index: the Burrows-Wheeler transform of a shard's segments in a wavelet matrix of packed bits with block counts,
+and every SAMPLE-th place of the suffix array; the suffix array itself is dropped once it is built. The segments are streamed
+against it: each window is searched backwards, a word at a time, until it is found whole or only its own place is left; the words found by
+then are its matching statistic. A window whose statistic reaches the threshold has an interval of suffixes; the places of each distinct
+interval are located by walking to sampled ones, and the earliest document and start among them decide whether the window repeats an
+earlier one. A segment whose earliest copy is elsewhere repeats it throughout.
+
+Defined cases: null text has no words; texts shorter than a window keep all; very long texts are read whole; rows of one id are ordered
+by the hash of their text, and equal rows (ties) get the same result, neither being earlier than the other; null ids come first; columns
+other than id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,11 @@ INDEX_WORDS = 1 << 19
 BITMAP_BITS = 1 << 30
 #: Segments that a task remembers to have sent.
 SENT = 1 << 20
+#: Segments of one minimizer from which on they go out window by window.
+HOT_SEGMENTS = 4096
 CODE_BYTES = 5
+#: Places of the suffix array that are kept: one in so many.
+SAMPLE = 8
 _LEAST = -(1 << 63)
 _bitmaps: dict[str, np.ndarray] = {}
 
@@ -73,7 +82,8 @@ class Segments:
             self.minimizer = grams[place[self.first]]
             up, down = _power_tables(len(h) + 1)
             sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-            self.content = mix((sums[self.first + self.n + WINDOW - 1] - sums[self.first]) * down[self.first] + self.n.astype(np.uint64))
+            self.contents = lambda first, n: mix((sums[first + n + WINDOW - 1] - sums[first]) * down[first] + n.astype(np.uint64))
+            self.content = self.contents(self.first, self.n)
 
 
 class WaveletMatrix:
@@ -91,62 +101,72 @@ class WaveletMatrix:
             self.levels.append((shift, blocks, counts, zeros))
             v = np.concatenate((v[~bit], v[bit]))
 
+    @staticmethod
+    def _ones(level: tuple, i: np.ndarray) -> np.ndarray:
+        _, blocks, counts, _ = level
+        b = i >> 6
+        return counts[b] + np.bitwise_count(blocks[b] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How many of each symbol stand before each place."""
         begin, end = np.zeros(len(place), np.int64), place
-        for shift, blocks, counts, zeros in self.levels:
-            one = (symbol >> shift & 1).astype(bool)
-
-            def ones(i, blocks=blocks, counts=counts):
-                b = i >> 6
-                return counts[b] + np.bitwise_count(blocks[b] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-
-            x, y = ones(begin), ones(end)
-            begin, end = np.where(one, zeros + x, begin - x), np.where(one, zeros + y, end - y)
+        for level in self.levels:
+            one = (symbol >> level[0] & 1).astype(bool)
+            x, y = self._ones(level, begin), self._ones(level, end)
+            begin, end = np.where(one, level[3] + x, begin - x), np.where(one, level[3] + y, end - y)
         return end - begin
 
+    def access(self, place: np.ndarray) -> np.ndarray:
+        """The symbol at each place."""
+        symbol = np.zeros(len(place), np.int64)
+        for level in self.levels:
+            one = (level[1][place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            x = self._ones(level, place)
+            place = np.where(one, level[3] + x, place - x)
+            symbol |= one.astype(np.int64) << level[0]
+        return symbol
+
 
 class FMIndex:
-    """An index over several sequences of words (as integers of any size) for patterns of up to WINDOW words."""
+    """A compressed index over several sequences of words (as integers of any size)."""
 
     def __init__(self, codes: np.ndarray, bounds: np.ndarray):
         """codes: all sequences one after another; bounds: where each begins, and the end."""
         self.alphabet, symbols = np.unique(codes, return_inverse=True)
         n_seq = len(bounds) - 1
         # a separator (0) stands after each sequence
-        self.text = np.zeros(len(codes) + n_seq, np.int64)
+        text = np.zeros(len(codes) + n_seq, np.int64)
         self.place = np.arange(len(codes)) + np.repeat(np.arange(n_seq), np.diff(bounds))  # of each code in the text
-        self.text[self.place] = symbols + 1
-        ranks = self._ranks()
-        self.suffixes = np.argsort(ranks, kind="stable")
-        self.ordered = ranks[self.suffixes]
-        self.starts = np.searchsorted(self.text[self.suffixes], np.arange(len(self.alphabet) + 2))
-        self.matrix = WaveletMatrix(self.text[self.suffixes - 1], len(self.alphabet))
-
-    def _ranks(self) -> np.ndarray:
-        """Order of the suffixes by their first WINDOW symbols, equal ones having equal ranks, by doubling."""
-
-        def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-            later = np.concatenate((b[by:], np.full(min(by, len(b)), -1))) + 1
-            return np.unique(a * (len(a) + 2) + later, return_inverse=True)[1]
-
-        by_size, size = {1: self.text}, 1
-        while size * 2 <= WINDOW:
-            by_size[size * 2] = joined(by_size[size], by_size[size], size)
+        text[self.place] = symbols + 1
+        self.size, self.symbols = len(text), symbols + 1
+        suffixes = self._sorted(text, int(np.diff(bounds).max(initial=0)))
+        self.starts = np.searchsorted(text[suffixes], np.arange(len(self.alphabet) + 2))
+        self.matrix = WaveletMatrix(text[suffixes - 1], len(self.alphabet))
+        # places that are known: each SAMPLE-th, and where sequences begin, so that no walk leaves its sequence
+        known = np.arange(len(text)) % SAMPLE == 0
+        known[bounds[:-1] + np.arange(n_seq)] = True
+        self.known = WaveletMatrix(known[suffixes].astype(np.int64), 1)
+        self.sampled = suffixes[known[suffixes]].astype(np.int32)
+
+    @staticmethod
+    def _sorted(text: np.ndarray, longest: int) -> np.ndarray:
+        """The suffixes in order, by doubling; each separator is a symbol of its own, so what follows a sequence doesn't count."""
+        ends = text == 0
+        rank = np.where(ends, np.cumsum(ends), text + ends.sum())
+        size = 1
+        while size <= longest:
+            later = np.concatenate((rank[size:], np.full(min(size, len(rank)), -1))) + 1
+            rank = np.unique(rank * (len(rank) + len(text) + 2) + later, return_inverse=True)[1]
             size *= 2
-        out, done = by_size[size], size
-        while done < WINDOW:
-            size = 1 << (WINDOW - done).bit_length() - 1
-            out, done = joined(out, by_size[size], done), done + size
-        return out
+        return np.argsort(rank, kind="stable")
 
     def search(self, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the `length` words that end at each place of the text: intervals of suffixes, and the words matched before only one place was left."""
-        low, high = np.zeros(len(last), np.int64), np.full(len(last), len(self.text), np.int64)
+        """Backward search of the `length` words that end with each given code of the sequences: intervals of suffixes, and the matching statistic: words matched before only one place was left."""
+        low, high = np.zeros(len(last), np.int64), np.full(len(last), self.size, np.int64)
         matched = np.zeros(len(last), np.int64)
         live = np.arange(len(last))
         for k in range(length):
-            symbol = self.text[last[live] - k]
+            symbol = self.symbols[last[live] - k]
             low[live] = self.starts[symbol] + self.matrix.rank(symbol, low[live])
             high[live] = self.starts[symbol] + self.matrix.rank(symbol, high[live])
             live = live[high[live] - low[live] > 1]
@@ -155,29 +175,41 @@ class FMIndex:
                 break
         return low, high, matched
 
-    def earliest(self, order: np.ndarray) -> np.ndarray:
-        """For each suffix rank that begins a run of equal windows, the least order of the run's places; elsewhere meaningless."""
-        runs = np.flatnonzero(np.concatenate(([True], self.ordered[1:] != self.ordered[:-1])))
-        least = np.minimum.reduceat(order[self.suffixes], runs)
-        out = np.zeros(len(self.suffixes), np.int64)
-        out[runs] = least
-        return out
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the text of suffixes given by their order: each walks back until it meets a known place."""
+        out, steps = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        live, at = np.arange(len(rows)), rows
+        while len(live):
+            there = self.known.access(at).astype(bool)
+            out[live[there]] = self.sampled[self.known.rank(np.ones(int(there.sum()), np.int64), at[there])]
+            live, at = live[~there], at[~there]
+            steps[live] += 1
+            symbol = self.matrix.access(at)
+            at = self.starts[symbol] + self.matrix.rank(symbol, at)
+        return out + steps
 
 
 def repeated(codes: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, window, matched words) of the windows of segments that have an equal one of a lower order elsewhere. order: a number for each code's place."""
+    """(segment, window, matching statistic) of the windows of segments that have an equal one of a lower order elsewhere. order: a number for each code's place."""
     index = FMIndex(codes, bounds)
     n = np.diff(bounds) - WINDOW + 1
     segment = np.repeat(np.arange(len(n)), n)
     window = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    first = index.place[bounds[:-1][segment] + window]
-    low, _, matched = index.search(first + WINDOW - 1, WINDOW)
-    of_text = np.full(len(index.text), np.iinfo(np.int64).max)
+    first = bounds[:-1][segment] + window
+    low, high, matched = index.search(first + WINDOW - 1, WINDOW)
+    hit = np.flatnonzero(matched == WINDOW)
+    # patterns of one length have intervals that are equal or apart, so each place is located once
+    begin, which = np.unique(low[hit], return_inverse=True)
+    end = np.zeros(len(begin), np.int64)
+    end[which] = high[hit]
+    size = end - begin
+    if not len(size):
+        return segment[hit], window[hit], matched[hit]
+    rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    of_text = np.full(index.size, np.iinfo(np.int64).max)
     of_text[index.place] = order
-    whole = matched == WINDOW
-    least = index.earliest(of_text)
-    hit = np.flatnonzero(whole)
-    hit = hit[least[low[hit]] < of_text[first[hit]]]
+    least = np.minimum.reduceat(of_text[index.locate(rows)], np.cumsum(size) - size)
+    hit = hit[least[which] < order[first[hit]]]
     return segment[hit], window[hit], matched[hit]
 
 
@@ -187,7 +219,8 @@ def bitmap(uri: str, bits: int) -> np.ndarray:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        _bitmaps.clear()
+        while len(_bitmaps) > 1:  # those of one run
+            _bitmaps.pop(next(iter(_bitmaps)))
         system, path = filesystem(uri)
         out = np.zeros(bits >> 6, np.uint64)
         for f in system.get_file_info(fs.FileSelector(path)):
@@ -212,8 +245,18 @@ def batches_of(batches, names: tuple[str, ...], text: str = "text"):
             yield [b.column(b.schema.get_field_index(c)).slice(x, y - x) for c in names], texts[x:y]
 
 
-def mark_repeated(rows: DataFrame) -> tuple[str, int]:
-    """Writes the bitmap of minimizers found twice or more; its place and size in bits."""
+def write_bitmap(values: DataFrame, name: str) -> tuple[str, int]:
+    """Writes a bitmap that holds the values m, each at its low bits; its place and size in bits."""
+    bits = min(BITMAP_BITS, max(1 << 16, 1 << (16 * values.count()).bit_length()))
+    i = F.col("m").bitwiseAND(F.lit(bits - 1))
+    words = values.select(F.shiftright(i, 6).alias("word"), F.expr(f"shiftleft(1L, cast((m & {bits - 1}L) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    uri = new_path(values.sparkSession, name)
+    words.write.parquet(uri)
+    return uri, bits
+
+
+def mark_repeated(rows: DataFrame) -> tuple[tuple[str, int], tuple[str, int]]:
+    """Bitmaps of the minimizers found twice or more, and of those found so often that their segments could fill an index."""
 
     def run(batches):
         import pyarrow as pa
@@ -222,27 +265,31 @@ def mark_repeated(rows: DataFrame) -> tuple[str, int]:
             m, n = np.unique(Segments(texts).minimizer, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
 
-    again = cut(rows.select("text").mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), "op6-minimizers")
-    bits = min(BITMAP_BITS, max(1 << 16, 1 << (16 * again.count()).bit_length()))
-    i = F.col("m").bitwiseAND(F.lit(bits - 1))
-    words = again.select(F.shiftright(i, 6).alias("word"), F.expr(f"shiftleft(1L, cast((m & {bits - 1}L) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    uri = new_path(rows.sparkSession, "op6-bitmap")
-    words.write.parquet(uri)
-    return uri, bits
+    again = cut(rows.select("text").mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"), "op6-minimizers")
+    return write_bitmap(again, "op6-bitmap"), write_bitmap(again.filter(F.col("n") > min(HOT_SEGMENTS, INDEX_WORDS // (WINDOW + SPAN))), "op6-hot")
 
 
-def sent_segments(rows: DataFrame, uri: str, bits: int) -> DataFrame:
-    """m, c (minimizer and content), k, h, start, codes: segments with marked minimizers, without those that the task has already sent from an earlier place."""
+def sent_segments(rows: DataFrame, repeats: tuple[str, int], hots: tuple[str, int]) -> DataFrame:
+    """m, c (what the segment is dealt by, and its content), k, h, start, codes: segments with marked minimizers, and single windows of those with
+    hot ones, without what the task has already sent from an earlier place."""
 
     def run(batches):
         import pyarrow as pa
 
-        words, sent = bitmap(uri, bits), {}
+        words, often, sent = bitmap(*repeats), bitmap(*hots), {}
         for (k, h), texts in batches_of(batches, ("k", "h")):
             s = Segments(texts)
-            keep = np.flatnonzero(marked(s.minimizer, words, bits))
-            kk, hh, start = k.to_numpy()[s.text[keep]], h.to_numpy()[s.text[keep]], s.first[keep] - s.at[s.text[keep]]
-            m, c = s.minimizer[keep].view(np.int64), s.content[keep].view(np.int64)
+            keep = marked(s.minimizer, words, repeats[1])
+            hot = keep & marked(s.minimizer, often, hots[1])
+            whole = np.flatnonzero(keep & ~hot)
+            single = np.repeat(np.flatnonzero(hot), s.n[hot])
+            turn = np.arange(len(single)) - np.repeat(np.cumsum(s.n[hot]) - s.n[hot], s.n[hot])
+            owner = np.concatenate((whole, single))
+            first, n = np.concatenate((s.first[whole], s.first[single] + turn)), np.concatenate((s.n[whole], np.ones(len(single), np.int64)))
+            text = s.text[owner]
+            c = s.contents(first, n).view(np.int64) if len(first) else np.empty(0, np.int64)
+            m = np.concatenate((s.minimizer[whole].view(np.int64), c[len(whole) :]))
+            kk, hh, start = k.to_numpy()[text], h.to_numpy()[text], first - s.at[text]
             if len(sent) > SENT:
                 sent.clear()
             use = []
@@ -252,8 +299,8 @@ def sent_segments(rows: DataFrame, uri: str, bits: int) -> DataFrame:
                     sent[name] = place
                     use.append(i)
             raw = np.ascontiguousarray(s.words, "<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES]
-            size = s.n[keep][use] + WINDOW - 1
-            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s.first[keep][use], size)
+            size = n[use] + WINDOW - 1
+            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[use], size)
             ends = np.concatenate(([0], np.cumsum(size))) * CODE_BYTES
             codes = pa.Array.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[index]))])
             yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (m, c, kk, hh)] + [pa.array(start[use].astype(np.int32)), codes], names=["m", "c", "k", "h", "start", "codes"])
@@ -262,8 +309,8 @@ def sent_segments(rows: DataFrame, uri: str, bits: int) -> DataFrame:
 
 
 def found_in_shards(segments: DataFrame) -> DataFrame:
-    """k, h, start, mask (bit j: the segment's window j repeats an earlier one) of each segment's earliest copy."""
-    # dealt out by minimizer alone, so the minimum needs no further shuffle; its output is sorted by minimizer
+    """k, h, start, mask (bit j: window j of the segment, or the single window, repeats an earlier one) of each one's earliest copy."""
+    # dealt out by m alone, so the minimum needs no further shuffle; its output is sorted by m
     first = segments.repartition("m").groupBy("m", "c").agg(F.min(F.struct("k", "h", "start", "codes")).alias("s")).select("m", "s.*").sortWithinPartitions("m")
 
     def index(parts: list):
@@ -317,23 +364,27 @@ def found_in_shards(segments: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept (the words that stay, joined by one blank), removed (word intervals) of every row."""
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).withColumns({"k": F.coalesce("key", F.lit(_LEAST)), "h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    uri, bits = mark_repeated(rows)
-    found = cut(found_in_shards(sent_segments(rows.select("k", "h", "text"), uri, bits)), "op6-found")
+    repeats, hots = mark_repeated(rows)
+    found = cut(found_in_shards(sent_segments(rows.select("k", "h", "text"), repeats, hots)), "op6-found")
     own = found.groupBy("k", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
 
     def run(batches):
         import pyarrow as pa
 
-        words = bitmap(uri, bits)
+        words, often = bitmap(*repeats), bitmap(*hots)
         for (k, starts, masks), texts in batches_of(batches, ("key", "starts", "masks")):
             s = Segments(texts)
-            use = marked(s.minimizer, words, bits)
+            use = marked(s.minimizer, words, repeats[1])
             mask = np.where(use, (1 << s.n) - 1, 0)  # a copy of an earlier segment, unless it is found below
             own_starts, own_masks = starts.to_pylist(), masks.to_pylist()
             n_own = np.array([len(x or ()) for x in own_starts])
             if n_own.sum():
                 at = np.repeat(s.at[:-1], n_own) + np.fromiter((v for x in own_starts for v in x or ()), np.int64)
-                mask[np.searchsorted(s.first, at)] = np.fromiter((v for x in own_masks for v in x or ()), np.int64)
+                seen, owner = np.fromiter((v for x in own_masks for v in x or ()), np.int64), np.searchsorted(s.first, at, "right") - 1
+                single = marked(s.minimizer[owner], often, hots[1])
+                mask[owner[~single]] = seen[~single]
+                first = single & (seen == 0)  # of a hot minimizer's windows, those that are the earliest of their words
+                np.bitwise_and.at(mask, owner[first], ~(1 << (at[first] - s.first[owner[first]])))
             change = np.zeros(len(s.words) + 1, np.int64)
             for j in range(SPAN):
                 hit = s.first[(mask >> j & 1).astype(bool)] + j
