@@ -1,13 +1,13 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Each document's histograms of character classes and of its language's commonest words are held against
-references of that language, which are sums over all documents, by Jensen-Shannon distance (base 2, so 0 to 1).
-A histogram is judged only from a minimum length on.
+references of that language by Jensen-Shannon distance (base 2, so 0 to 1). References are sums over all documents that are judged, each
+document's own share included, unless fitted ones are given. A histogram is judged only from a minimum length on.
 
-Defined cases: null text counts as empty (no words, base_failed); null or rare languages (fewer than
-min_reference_words words in all) use the reference of the whole corpus; repeated rows give one row each; an empty
-table gives an empty result; other columns of the input are carried through untouched unless they clash with an
-output column, in which case the output column replaces them.
+Defined cases: null text counts as empty (no words, base_failed); very long texts are read whole; null or rare languages (fewer than
+min_reference_words words in all) use the reference of the whole corpus; words of one count (ties) are ranked by their letters; repeated
+rows give one row each; an empty table gives an empty result; other columns of the input are carried through whatever their names,
+unless they clash with an output column, which replaces them.
 """
 
 from __future__ import annotations
@@ -106,13 +106,15 @@ def js_distance(a: Column, b: Column) -> Column:
     return bind(F.struct(total(a).alias("a"), total(b).alias("b")), lambda t: F.when((t["a"] > 0) & (t["b"] > 0), distance(t)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, n_common: int = N_COMMON, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
-    """The documents with the base measures, class_distance, word_distance (null below the guards), and kept."""
-    refs = cut(references(docs, text, lang, n_common, min_reference_words), "op5-references")  # a few rows; written, so that Spark sees its size before it plans the join
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
+def _judge(docs: DataFrame, text: str, lang: str, fitted: DataFrame | None, min_chars: int, min_words: int, max_class_distance: float, max_word_distance: float, n_common: int, min_reference_words: int) -> DataFrame:
+    """docs, none of whose columns has a name of MADE or of a helper, with the columns of MADE."""
+    # a few rows; written, so that Spark sees its size before it plans the join
+    refs = fitted if fitted is not None else cut(references(docs, text, lang, n_common, min_reference_words), "op5-references")
     whole = refs.filter("_lang = '*'").select(*[F.col(c).alias(f"{c}_all") for c in refs.columns if c != "_lang"])
-    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"}
-    df = docs.drop(*(taken - {text, lang} & set(docs.columns)))
-    df = with_classes(with_base(df, text), text).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
+    df = with_classes(with_base(docs, text), text).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
     df = df.withColumn("_all", F.lit("*")).join(refs.filter("_lang != '*'"), "_lang", "left").join(whole.withColumn("_all", F.lit("*")), "_all", "left")
     for c in ("_common", "_ref_words", "_ref_classes"):
         df = df.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_all")))
@@ -124,17 +126,27 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: in
         "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("_counts"), F.col("_ref_words"))),
     })
     bad = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    helpers = [c for c in df.columns if c.startswith("_") and c not in docs.columns]
-    return df.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*helpers)
+    return df.withColumn("kept", ~F.col("base_failed") & ~bad).select(*docs.columns, *MADE)
+
+
+def _own(c: str) -> str:
+    return f"_own_{c}"
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", fitted: DataFrame | None = None, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, n_common: int = N_COMMON, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
+    """The documents with the base measures, class_distance, word_distance (null below the guards), and kept. fitted: references made from other documents."""
+    named = docs.withColumnsRenamed({c: _own(c) for c in docs.columns})
+    out = _judge(named, _own(text), _own(lang), fitted, min_chars, min_words, max_class_distance, max_word_distance, n_common, min_reference_words)
+    return out.select(*[F.col(_own(c)).alias(c) for c in docs.columns if c not in MADE], *MADE)
 
 
-def accepted(docs: DataFrame, **options) -> DataFrame:
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", fitted: DataFrame | None = None, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, n_common: int = N_COMMON, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    own = {c: f"_own_{c}" for c in docs.columns}
-    judged = judge(docs.withColumnsRenamed(own), text=own[options.pop("text", "text")], lang=own[options.pop("lang", "lang")], **options)
+    named = docs.withColumnsRenamed({c: _own(c) for c in docs.columns})
+    judged = _judge(named, _own(text), _own(lang), fitted, min_chars, min_words, max_class_distance, max_word_distance, n_common, min_reference_words)
     # The row number keeps the optimizer from pushing the verdict down: as a predicate it would be computed anew wherever a measure is used.
     judged = judged.withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter((F.col("_row") >= 0) & F.col("kept")).select(*[F.col(v).alias(k) for k, v in own.items()])
+    return judged.filter((F.col("_row") >= 0) & F.col("kept")).select(*[F.col(_own(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
