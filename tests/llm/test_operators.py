@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispan.llm import dartminhash, divergence, encoders, fmindex, imatch, mixing, packing, registry, secrets, sstable, transducer, warc
+from lexispan.llm import common, dartminhash, divergence, encoders, fmindex, imatch, mixing, packing, registry, secrets, sstable, transducer, warc
 from lexispan.llm.common import documents, new_path, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string"
@@ -95,6 +95,75 @@ def test_imatch(spark, docs, rows):
     assert sum(g.near_edited for g in got) > 3 * sum(g.near_next for g in got)
 
 
+def brute_fingerprints(rows, min_share, max_share):
+    """(id, n_chars, sha, fingerprint, edited fingerprint, near_edited, near_next) of (id, text) rows, from the definition."""
+    import struct
+
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_text = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    of_long = lambda v, seed=42: signed(xxhash.xxh64_intdigest(struct.pack("<q", v), seed & 0xFFFFFFFFFFFFFFFF))
+    terms = lambda t: {of_text(x) for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}
+    df = collections.Counter(x for _, t in rows for x in terms(t or ""))
+    inside = {t for t, n in df.items() if max(2, min_share * len(rows)) <= n <= max(2, max_share * len(rows))}
+    subsets = collections.defaultdict(list)
+    for t in inside:
+        for k, d in enumerate(imatch.DENSITIES):
+            s = signed(xxhash.xxh64_intdigest(struct.pack("<i", k), of_long(t) & 0xFFFFFFFFFFFFFFFF)) % d
+            if s < imatch.SUBSETS:
+                subsets[t].append(s + k * imatch.SUBSETS)
+
+    def fingerprint(text):
+        held = collections.defaultdict(list)
+        for t in terms(text):
+            for s in subsets.get(t, ()):
+                held[s].append(t)
+        out = {}
+        for s, ts in sorted(held.items()):
+            h = None
+            for t in sorted(ts):
+                h = of_long(t) if h is None else of_long(t, of_long(h))
+            out[s] = h & 65535
+        return out
+
+    def likeness(a, b, equal):
+        x = None
+        for k in range(len(imatch.DENSITIES)):
+            either = [s for s in {*a, *b} if s // imatch.SUBSETS == k]
+            if either and (k == 0 or len(either) >= imatch.MIN_SUBSETS):
+                x = sum(a.get(s) == b.get(s) for s in either) / len(either)
+        return float(equal) if x is None else x
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, of_text(r[1] or "")))
+    text = lambda f: "".join(f"{s * 65536 + h:06x}" for s, h in f.items())
+    out = []
+    for i, (key, t) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        f, g, n = fingerprint(t), fingerprint(edited), fingerprint(after)
+        out.append((key, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(f), text(g), round(likeness(f, g, t == edited), 9), round(likeness(f, n, t == after), 9)))
+    return out
+
+
+@pytest.mark.parametrize("bound", [(1 / 1000, 1 / 10), (1 / 50, 1 / 2)])
+def test_imatch_by_brute_force(spark, rows, bound):
+    """With null ids, a third of the rows under one id, and texts without terms of the lexicon."""
+    more = [(None, rows[k][1], *rows[k][2:]) for k in (3, 9)] + [(7, " ".join(rows[k % 40][1].split()[k : 3 * k + 5]), *rows[0][2:]) for k in range(40)]
+    every = rows + more
+    got = imatch.fingerprints(spark.createDataFrame(every, SCHEMA).repartition(4), min_share=bound[0], max_share=bound[1]).collect()
+    want = brute_fingerprints([r[:2] for r in every], *bound)
+    assert collections.Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == collections.Counter(want)
+    assert len({w[3] for w in want}) > 50 and any(0 < w[5] < 1 for w in want)
+
+
+def test_hot_id_is_split(spark, rows):
+    df = spark.createDataFrame([(5, f"text {k}", *rows[0][2:]) for k in range(300)] + [(k, "x", *rows[0][2:]) for k in range(100)], SCHEMA)
+    sizes = {r[0]: r[1] for r in imatch.with_neighbours(df, "doc_id", "text").filter("NOT guest").groupBy("part").count().collect()}
+    assert len(sizes) > 8 and max(sizes.values()) < 80
+
+
 def test_imatch_of_nothing(empty):
     assert imatch.fingerprints(empty).count() == 0
 
@@ -131,7 +200,8 @@ def brute_classes(rows):
     return sorted((r[0], min(least[root(i)])) for i, r in enumerate(rows))
 
 
-def test_near_duplicates(spark, rows):
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_near_duplicates(spark, rows, monkeypatch, hot):
     import random
 
     r, more = random.Random(1), []
@@ -142,13 +212,52 @@ def test_near_duplicates(spark, rows):
                 w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
             more.append((5000 + 100 * n + k, " ".join(w), "en", "src0", 1, "k", "s"))
     every = rows + more
-    df = spark.createDataFrame(every, SCHEMA).repartition(3)
+    df = spark.createDataFrame(every, SCHEMA).repartition(3).withColumns({"_k": F.lit("a"), "_h": F.lit("b"), "r": F.lit("c"), "k": F.lit("d")})
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     assert sorted(tuple(x) for x in dartminhash.classes(df).collect()) == brute_classes(every)
     one = dartminhash.one_of_each(df)
-    assert one.columns == df.columns
+    assert one.columns == df.columns and {(x._k, x._h, x.r, x.k) for x in one.collect()} == {("a", "b", "c", "d")}
     assert sorted(x.doc_id for x in one.collect()) == sorted({c for _, c in brute_classes(every)})
 
 
+def test_near_duplicates_without_ids(spark, rows):
+    """Null ids: kept, and a class's id only where there is no other; one id with several texts is several documents."""
+    text = rows[3][1]
+    made = [(None, text), (7, text + " more"), (None, "other words that stand alone here"), (9, "first text of one id"), (9, "second words under the same number")]
+    df = spark.createDataFrame([(k, t, *rows[0][2:]) for k, t in made], SCHEMA)
+    assert sorted((str(k), str(c)) for k, c in dartminhash.classes(df).collect()) == [("7", "7"), ("9", "9"), ("9", "9"), ("None", "7"), ("None", "None")]
+    one = collections.Counter(r.text for r in dartminhash.one_of_each(df).collect())
+    assert one == collections.Counter([t for _, t in made[1:]])
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of 0.8 or more among the thousand documents of the next scale, found by an inverted index of shingles."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()]
+    sets, holders = [shingle_sets(t) for _, t in rows], collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for e in x:
+            holders[e].append(i)
+    shared = collections.Counter((i, j) for h in holders.values() if len(h) > 1 for j in h for i in h if i < j)
+    size = [sum(x.values()) for x in sets]
+    pairs = [(i, j) for i, j in shared if (both := sum((sets[i] & sets[j]).values())) >= 0.8 * (size[i] + size[j] - both)]
+    of = {r.key: r.class_id for r in dartminhash.classes(spark.read.parquet(path)).collect()}
+    found = sum(of[rows[i][0]] == of[rows[j][0]] for i, j in pairs)
+    assert len(pairs) > 50 and found >= 0.99 * len(pairs)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(1, k) for k in range(500)] + [(k, 0) for k in range(2, 40)] + [(None, 3)], "k int, v int")
+    right = spark.createDataFrame([(k, k * 10) for k in range(30)], "k int, w int")
+    sizes = left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got, want = common.spread_join(left, right, "k", ["v"], sizes, how), left.join(right, "k", how)
+        assert got.columns == want.columns and collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+
+
 def test_near_duplicates_of_nothing(empty):
     assert dartminhash.classes(empty).count() == 0
 
@@ -166,8 +275,12 @@ def test_weighted_signatures():
 
 def test_quality_rules(spark, docs, rows, empty):
     got = collections.defaultdict(list)
-    for r in divergence.judge(docs.drop("kept")).collect():
+    clashing = docs.withColumns({"_words": F.lit("own"), "n_words": F.lit("gone"), "_lang": F.lit(7)})
+    judged = divergence.judge(clashing)
+    assert judged.columns == [c for c in clashing.columns if c not in divergence.MADE] + list(divergence.MADE)
+    for r in judged.collect():
         got[r.doc_id].append(r)
+    assert {(r._words, r._lang) for x in got.values() for r in x} == {("own", 7)}
     assert len(got) == len({r[0] for r in rows}) and len(got[1005]) == 2
     for i, text, *_ in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
@@ -178,8 +291,11 @@ def test_quality_rules(spark, docs, rows, empty):
         assert (g.n_words, g.word_chars, g.n_repeat_words, g.n_dup_lines) == (len(w), sum(map(len, w)), len(cover), len(lines) - len(set(lines)))
         assert g.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
     assert not any(r.kept for r in got[1006])
-    kept = divergence.accepted(docs)
-    assert kept.columns == docs.columns and kept.count() > 30
+    kept = divergence.accepted(clashing)
+    assert kept.columns == clashing.columns and kept.count() > 30 and {r.n_words for r in kept.collect()} == {"gone"}
+    fitted = divergence.references(docs.filter("lang = 'en'")).cache()
+    alone = {r.doc_id: r.class_distance for r in divergence.judge(docs.filter("lang = 'en'")).collect()}
+    assert all(r.class_distance == alone[r.doc_id] for r in divergence.judge(docs.filter("lang = 'en' AND doc_id < 30"), fitted=fitted).collect())
     assert divergence.accepted(empty).count() == 0
 
 
@@ -203,14 +319,45 @@ def test_index_finds_all():
     codes = rng.integers(0, 5, 3000)
     bounds = np.array([0, 1000, 1700, 3000])
     index = fmindex.FMIndex(codes, bounds)
-    last = index.place[np.arange(19, 1000)]
+    seqs = [codes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     for length in (1, 3, 6):
-        low, high, _ = index.search(last, length)
-        seqs = [codes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for k in range(0, len(last), 97):
+        low, high, matched = index.search(np.arange(19, 1000), length)
+        for k in range(0, len(low), 97):
             p = codes[19 + k - length + 1 : 19 + k + 1].tolist()
-            n = sum(s[i : i + length] == p for s in seqs for i in range(len(s) - length + 1))
-            assert high[k] - low[k] == n or n > 1
+            places = [int(bounds[q]) + q + i for q, s in enumerate(seqs) for i in range(len(s) - length + 1) if s[i : i + length] == p]
+            if len(places) > 1:
+                assert matched[k] == length and sorted(index.locate(np.arange(low[k], high[k])).tolist()) == places
+            else:
+                assert matched[k] < length and high[k] - low[k] == 1
+
+
+def test_hot_minimizer_is_split(spark, monkeypatch):
+    """One 6-gram in thousands of contexts, some of them alike: no more than an index's words under one key, and the right answer."""
+    import random
+
+    monkeypatch.setattr(fmindex, "INDEX_WORDS", 4000)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    grams = [[word() for _ in range(6)] for _ in range(40)]
+    lowest = min(grams, key=lambda g: int(fmindex.Segments([" ".join(["x"] * 14 + g + ["x"] * 14)]).minimizer.min()))
+    made, texts = [], []
+    for _ in range(3000):
+        if made and r.random() < 0.2:
+            left, right = r.choice(made)
+            left, right = ([word() for _ in range(20)], right) if r.random() < 0.5 else (left, [word() for _ in range(20)])
+        else:
+            left, right = ([word() for _ in range(20)] for _ in range(2))
+        made.append((left, right))
+        texts.append(" ".join([*left, *lowest, *right]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = df.selectExpr("doc_id AS k", "xxhash64(text) AS h", "text")
+    marks = fmindex.mark_repeated(keyed)
+    most = fmindex.sent_segments(keyed, *marks).dropDuplicates(["m", "c"]).groupBy("m").agg(F.sum(F.length("codes") / fmindex.CODE_BYTES).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 4000
+    got = fmindex.without_repeats(df).select("key", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    want = fmindex.brute(rows)
+    assert sorted(map(tuple, got)) == sorted(want) and sum(w[2] > 0 for w in want) > 300
 
 
 # 7
@@ -264,6 +411,35 @@ def test_mixing(docs, empty):
     assert mixing.choose(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [7, 90, 130])
+def test_prefixes_by_brute_force(spark, rows, percent):
+    """Null ids, one id for many texts, equal rows, and columns named as the operator's own."""
+    more = [(None, f"null {k} " * (k % 4), "en", "src0", 1, "k", "s") for k in range(9)] + [(7, f"same {k} " * k, "en", "src0", 1, "k", "s") for k in range(40)] + [(8, "equal row", "en", "src0", 1, "k", "s")] * 5
+    every = rows + more
+    df = spark.createDataFrame(every, SCHEMA).repartition(3).withColumns({"_order": F.lit("o"), "_tokens": F.lit("t"), "r": F.lit(1), "place": F.lit(2), "rest": F.lit(3)})
+    got = mixing.choose(df, percent=percent)
+    assert got.columns == [c for c in df.columns if c != "_tokens"] + list(mixing.MADE)
+    got = got.collect()
+    assert {(r._order, r.r, r.place, r.rest) for r in got} == {("o", 1, 2, 3)} and len(got) == len(every)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r._domain, r._lang, r._source].append(r)
+    for leaf in by.values():
+        total = sum(r._tokens for r in leaf)
+        budget = sum(r._taken for r in leaf)
+        if not total:
+            continue
+        whole, rest = divmod(budget, total)
+        name = lambda r: hashlib.md5(f"{mixing.SEED}:{whole}:{'' if r.doc_id is None else r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()[:15]  # noqa: B023, E731
+        so, want = 0, collections.Counter()
+        for r in sorted(leaf, key=lambda r: (name(r), r._tokens)):
+            want[r.doc_id, r.text, whole + (so < rest), whole * r._tokens + max(0, min(r._tokens, rest - so))] += 1
+            so += r._tokens
+        assert collections.Counter((r.doc_id, r.text, r._copies, r._taken) for r in leaf) == want
+    taken = mixing.mixed(df, percent=percent)
+    assert taken.columns == df.columns and taken.count() == sum(r._copies for r in got)
+
+
 # 9
 
 def der(tag, body):
@@ -280,6 +456,18 @@ def test_secret_structures():
     jwt = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
     kinds = lambda t: [k for *_, k in secrets.scan(t)]
     assert "der" in kinds(f"key {b64} end") and "ssh" in kinds(f"ssh-ed25519 {ssh} me") and "jwt" in kinds(f"token {jwt}") and "der" in kinds(key.hex())
+    blank = base64.urlsafe_b64encode(b'{ "alg": "ES256" }').decode().rstrip("=")
+    lines = base64.urlsafe_b64encode(b'{\n"alg": "ES256"}').decode().rstrip("=")
+    assert all("jwt" in kinds(f"x {h}.{part({'sub': 1})}.c2ln y") for h in (blank, lines))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = b"".join(map(field, (b"ssh-ed25519", b"k" * 32)))
+    private = lambda cipher, kdf, options, secret, n=1: b"openssh-key-v1\0" + b"".join(map(field, (cipher, kdf, options))) + n.to_bytes(4, "big") + field(public) + field(secret)
+    good = [private(b"none", b"none", b"", b"abcdabcd" + b"s" * 40), private(b"aes256-ctr", b"bcrypt", b"o" * 24, b"s" * 48)]
+    bad = [b"openssh-key-v1\0garbage that is no key at all", private(b"none", b"none", b"", b"abcdabce" + b"s" * 40), private(b"none", b"bcrypt", b"o", b"abcdabcd"), private(b"none", b"none", b"", b"abcdabcd", 2), good[0] + b"\0", good[0][:-1], private(b"none", b"none", b"", b"abcdabcd" + b"s" * 41)]
+    assert all(secrets.is_ssh_key(x) for x in good) and not any(secrets.is_ssh_key(x) for x in bad)
+    assert kinds(base64.b64encode(good[0]).decode()) == ["ssh"] and not kinds(base64.b64encode(bad[0]).decode())
+    armour = base64.encodebytes(good[1]).decode()
+    assert kinds(f"-----BEGIN OPENSSH PRIVATE KEY-----\n{armour}-----END OPENSSH PRIVATE KEY-----") == ["pem"]
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64[:64]}\n{b64[64:]}\n-----END RSA PRIVATE KEY-----"
     assert kinds(pem)[0] == "pem"
     broken = base64.b64encode(key[:-3]).decode()
@@ -310,24 +498,81 @@ def test_token_counts(docs, rows, empty):
     assert transducer.with_counts(empty).count() == 0
 
 
-def test_chunks_compose(rows, monkeypatch):
+@pytest.mark.parametrize(("chunk", "trace"), [(13, 4096), (13, 3), (200, 150), (1 << 16, 4096)])
+def test_chunks_compose(rows, monkeypatch, chunk, trace):
+    import random
+
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(transducer.MODEL))
-    monkeypatch.setattr(transducer, "CHUNK", 13)
-    t = transducer.Transducer.load(transducer.MODEL)
-    for text in ["a" * 100, "   x    y ", "▁▁ a", "日本語 text <0x0A> </s>", "é\n\n\tü", rows[3][1][:2000]]:
+    monkeypatch.setattr(transducer, "CHUNK", chunk)
+    monkeypatch.setattr(transducer, "TRACE", trace)
+    t, r = transducer.Transducer.load(transducer.MODEL), random.Random(8)
+    odd = ["".join(r.choice([*"aetinsr .\n\t\0▁日é", "  ", " the", "ing"]) for _ in range(r.randint(0, 90))) for _ in range(300)]
+    for text in ["a" * 100, "   x    y ", "▁▁ a", "日本語 text <0x0A> </s>", "é\n\n\tü", rows[3][1][:2000], "".join(r.choice("abcdeinrst") for _ in range(3000)), *odd]:
         assert t.count(text) == len(m.encode(text))
 
 
+def test_pairs_by_merging():
+    import random
+
+    t, r = transducer.Transducer.load(transducer.MODEL), random.Random(2)
+    pieces = [p for p in t.score if len(p) < 7]
+    short = [p for p in pieces if len(p) < 3 and p.isascii()]
+    for a, b in [(r.choice(short), r.choice(short)) for _ in range(2000)] + [(r.choice(pieces), r.choice(pieces)) for _ in range(2000)]:
+        assert t.may_follow(a, b) == (t.merged(a + b) == [a, b])
+
+
+def test_chunk_maps_meet_soon():
+    """Without any cut a chunk entered in another state is run for a few characters only."""
+    t = transducer.Transducer.load(transducer.MODEL)
+    text = "".join(chr(97 + k * k % 19) for k in range(4000))
+    later, steps = t.chunk(text[2000:]), []
+    run = t.run
+    t.run = lambda state, x: steps.append(len(x)) or run(state, x)
+    assert later(t.chunk(text[:2000]).exit[0])[1] > 100
+    assert 2000 < sum(steps) < 2000 + 100  # the first chunk's own run, and the second's until the states agree
+
+
+def test_memory_is_bounded_in_bytes():
+    import pyarrow as pa
+
+    e = encoders.CachedEncoder("byte_bpe_50k.json")
+    e.words.most = 1 << 20
+    texts = ["".join(chr(97 + (k * 7 + j * j) % 26) for j in range(20_000)) for k in range(40)] + [" ".join(f"w{k}x{j}" for j in range(400)) for k in range(60)]
+    assert sum(map(len, e.encode(pa.array(texts)))) > 0
+    assert max(map(len, [*e.words.young, *e.words.older])) <= encoders.LONG_WORD
+    kept = sum(encoders.ENTRY_BYTES + 2 * len(k) + len(v) for d in (e.words.young, e.words.older) for k, v in d.items())
+    assert kept < 3 * e.words.most + (encoders.ENTRY_BYTES + 40) * (1 << 14)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name, rows):
     e = encoders.CachedEncoder(name)
-    odd = ["a  b\n\n c", "\ta b", "x  y", "<|endoftext|> a <|endoftext|>", "", " ", "\n", " a ", "é ́x", "\x1c a", "a\r\n b", "it's  'S don't　 x1234 ", "Don'T Éa ſ K"]
+    odd = ["a  b\n\n c", "\0 a\0b", "İstanbul, ǅ. ʼn;", "\ta b", "x  y", "<|endoftext|> a <|endoftext|>", "", " ", "\n", " a ", "é ́x", "\x1c a", "a\r\n b", "it's  'S don't　 x1234 ", "Don'T Éa ſ K"]
     texts = odd + [r[1] or "" for r in rows]
     assert e.ids(texts) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_null_ids_and_clashing_names(spark, rows):
+    """Every operator keeps rows without an id, and columns named as its own helpers."""
+    names = ("key", "ids", "start", "piece", "length", "local", "task", "h", "k", "m", "c", "n_bytes", "starts", "masks", "part", "place", "kept")
+    made = [(None, rows[4][1]), (None, None), (None, rows[4][1]), (3, "some words"), (3, rows[9][1])]
+    df = spark.createDataFrame([(*x, *rows[0][2:5]) for x in made], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(f"own {n}") for n in names}).repartition(2)
+    count = collections.Counter(k for k, _ in made)
+    assert collections.Counter(r.key for r in sstable.read_table(sstable.write_table(df, new_path(spark, "t"))).collect()) == count
+    assert len(sstable.lookup(sstable.write_table(df, new_path(spark, "t")), spark.createDataFrame([(None,), (3,), (4,)], "key long")).collect()) == 5
+    assert collections.Counter(r.key for r in imatch.fingerprints(df).collect()) == count
+    assert collections.Counter(r.key for r in dartminhash.classes(df).collect()) == count
+    assert collections.Counter(r.key for r in fmindex.without_repeats(df).collect()) == count
+    assert collections.Counter(r.key for r in packing.pack(df).filter("piece = 0").collect()) == count
+    for out, new in ((divergence.judge(df), divergence.MADE), (mixing.choose(df), mixing.MADE), (secrets.with_spans(df), ("spans",)), (transducer.with_counts(df), ("n_bytes", "n_tokens"))):
+        got = out.collect()
+        assert collections.Counter(r.doc_id for r in got) == count
+        assert all(r[n] == f"own {n}" for r in got for n in names if n not in new)
+        assert set(out.columns) == {*df.columns, *new}
+
+
 def test_documents_reader(spark, sf_dir):
     assert documents(spark, sf_dir).columns[:2] == ["doc_id", "text"]
 

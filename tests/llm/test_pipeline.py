@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from test_operators import brute_classes
 from lexispan.llm import divergence, mixing, secrets
 from lexispan.llm.common import cut
 
@@ -18,6 +19,11 @@ def test_stages(spark, sf_dir):
     before, after = seen["quality rules"]
     kept = {r.doc_id for r in divergence.judge(before).filter("kept").collect()}
     assert {r.doc_id for r in after.collect()} == kept
+    before, after = seen["near-duplicates"]
+    want = brute_classes([(r.doc_id, r.text) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, c in want})
+    text = {r.doc_id: tuple(r) for r in before.collect()}
+    assert all(tuple(r) == text[r.doc_id] for r in after.collect())
     before, after = seen["secret scans"]
     assert after.count() == before.count()
     assert not any(s[2] != "assign" for r in after.collect() for s in secrets.scan(r.text))
