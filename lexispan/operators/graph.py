@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scan import CODE, FUNCTION, enclosing_functions, extension
+from ..shared import written
+from .scan import CODE, enclosing_functions, extension
 
 MAX_DEPTH = 5
 
@@ -28,17 +29,18 @@ def by_kind(deps: DataFrame) -> DataFrame:
 def closure(deps: DataFrame, modules: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """For every direct edge, what is reached from its end over api edges, to max_depth, with the depth and the path of names.
 
-    At most max_depth joins, unrolled; within one starting edge each module keeps its least depth, then its least path."""
-    names = modules.select("id", "name")
+    At most max_depth joins, each level written before the next; within one starting edge each module keeps its least depth, then its least path."""
+    names, deps = written(modules.select("id", "name"), "closure-names"), written(deps.select("module_id", "dep_module_id", "dep_kind"), "closure-edges")
     start = deps.select(F.xxhash64("module_id", "dep_module_id", "dep_kind").alias("edge"), "module_id", F.col("dep_module_id").alias("node"))
     named = lambda df, key, to: df.join(names.select(F.col("id").alias(key), F.col("name").alias(to)), key)
     level = named(named(start, "module_id", "_a"), "node", "_b").withColumns({"depth": F.lit(1), "path": F.concat_ws(" -> ", "_a", "_b")}).drop("_a", "_b").distinct()
+    level = written(level, "closure-level")
     api = named(deps.filter("dep_kind = 'api'").select(F.col("module_id").alias("node"), F.col("dep_module_id").alias("next")).distinct(), "next", "_n")
     seen = level
     for d in range(2, max_depth + 1):
         more = level.join(api, "node").select("edge", "module_id", F.col("next").alias("node"), F.lit(d).alias("depth"), F.concat_ws(" -> ", "path", "_n").alias("path"))
         more = more.groupBy("edge", "module_id", "node", "depth").agg(F.min("path").alias("path")).select("edge", "module_id", "node", "depth", "path")
-        level = more.join(seen.select("edge", "node"), ["edge", "node"], "left_anti").select(*seen.columns)
+        level = written(more.join(seen.select("edge", "node"), ["edge", "node"], "left_anti").select(*seen.columns), "closure-level")
         seen = seen.unionByName(level)
     return seen.select("module_id", F.col("node").alias("dependency_id"), "depth", "path")
 
@@ -72,11 +74,13 @@ def segment_join(modules: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def call_edges(lines: DataFrame, extensions: tuple[str, ...] = CODE) -> DataFrame:
-    """caller, callee and the caller's path: every call-like name in a line with the function that encloses it. Built once for any number of trees."""
+    """caller, callee and the caller's path: every call in a line with the function that encloses it. Built once for any number of trees.
+
+    A call's name follows a dot, an arrow or an ampersand, or begins the line; a line that defines the name is no call of it."""
     code = lines.filter(extension(F.col("path")).isin(*extensions)) if extensions else lines
-    calls = code.withColumn("callee", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\s*\("), 1))))
-    # a definition's own name is no call
-    calls = calls.filter(F.col("callee") != F.regexp_extract("text", FUNCTION, 1)).select("path", "line", "callee")
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:[.>&]|^\s*)([A-Za-z_]\w*)\s*\("), 1))
+    defined = F.concat(F.regexp_extract_all("text", F.lit(r"\b(?:fun|func|def|sub)\s+(\w+)\s*[<(\{\[]"), 1), F.regexp_extract_all("text", F.lit(r"[\w.>\]]\s+(\w+)\s*\("), 1))
+    calls = code.withColumn("callee", F.explode(F.array_except(names, defined))).select("path", "line", "callee")
     return enclosing_functions(calls, code).filter("function IS NOT NULL").select(F.col("function").alias("caller"), "callee", "path").distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import like, parse_search, phrase_match
+from ..functions.text import cut_to, extension, like, parse_search, phrase_match
 from ..schema import CLASS_LIKE
 
 SYMBOL = ("name", "kind", "line", "signature", "path")
@@ -71,11 +71,16 @@ def scoped_by_name(located_symbols: DataFrame, name: str, kind: str | None = Non
     return ordered(by_name(located_symbols, name, kind).filter(scope(F.col("path"), **where)), limit).select(*SYMBOL)
 
 
-def universal(files: DataFrame, located_symbols: DataFrame, lines: DataFrame, text: str, limit: int = 20) -> DataFrame:
+#: Files whose lines a search reads; fixed values.
+SEARCHED = ("kt", "java", "swift", "m", "h", "py", "go", "rs", "cpp", "c", "proto")
+
+
+def universal(files: DataFrame, located_symbols: DataFrame, lines: DataFrame, text: str, limit: int = 20, extensions: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Paths, symbols (by full text, as prefixes) and line contents that match, tagged by section."""
     paths = files_containing(files, text, limit).select(F.lit("file").alias("section"), "path", F.lit(0).alias("line"), F.col("path").alias("text"))
     found = full_text(located_symbols, text.rstrip("*") + "*", limit).select(F.lit("symbol").alias("section"), "path", "line", F.col("name").alias("text"))
-    content = lines.filter(F.contains("text", F.lit(text))).orderBy("path", "line").limit(limit).select(F.lit("content").alias("section"), "path", "line", "text")
+    content = lines.filter(F.contains("text", F.lit(text)) & extension(F.col("path")).isin(*extensions)).orderBy("path", "line").limit(limit)
+    content = content.select(F.lit("content").alias("section"), "path", "line", cut_to(F.col("text"), 100).alias("text"))
     return paths.unionByName(found).unionByName(content)
 
 
@@ -116,6 +121,15 @@ def cross_references(located_symbols: DataFrame, refs: DataFrame, files: DataFra
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def reference_counts(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("name").agg(F.count("*").alias("n"))
+
+
+def modules_matching(modules: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    df = modules.filter(like(F.col("name"), f"%{text}%") | like(F.col("path"), f"%{text}%"))
+    return df.orderBy("name").limit(limit)
+
+
 def top_of_each(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group; the rank's limit is applied before the shuffle."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")

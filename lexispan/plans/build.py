@@ -33,7 +33,8 @@ def facts(contents: DataFrame) -> dict[str, DataFrame]:
         "files": files,
         "symbols": symbols.select("id", "file_id", "name", "kind", "line", F.lit(None).cast("bigint").alias("parent_id"), "signature"),
         "inheritance": keyed(parents, "child_id", "parent_name", "kind").select("id", "child_id", "parent_name", "kind"),
-        "refs": keyed(refs, "file_id", "line", "name").select("id", "file_id", "name", "line", "context"),
+        # look-ups ask for names: sorted, a name's rows lie in few row groups
+        "refs": keyed(refs, "file_id", "line", "name").select("id", "file_id", "name", "line", "context").repartitionByRange("name").sortWithinPartitions("name"),
     }
 
 
@@ -42,7 +43,7 @@ def module_tables(contents: DataFrame) -> DataFrame:
 
 
 def dependency_tables(contents: DataFrame, modules: DataFrame) -> DataFrame:
-    deps = extract.gradle_dependencies(contents, modules)
+    deps = extract.gradle_dependencies(contents, modules).unionByName(extract.maven_dependencies(contents, modules))
     return keyed(deps, "module_id", "dep_module_id", "dep_kind").select("id", "module_id", "dep_module_id", "dep_kind")
 
 
@@ -124,16 +125,20 @@ class Store:
             self.write(platform_facts(contents, self.read("modules")))
 
     def update(self, contents: DataFrame) -> tuple[int, int]:
-        """Takes in new and changed files and leaves out deleted ones: (changed, deleted)."""
+        """Takes in new and changed files and leaves out deleted ones: (changed, deleted). Modules and platform tables, which join across
+        files, are made anew from the contents if anything changed; without a change nothing is written."""
         changed, deleted = differences(contents, self.read("files"))
         fresh = facts(contents.join(changed.select("path"), "path", "left_semi"))
         gone = changed.select("path").unionByName(deleted.select("path")).select(F.xxhash64("path").alias("file_id"))
         n = changed.count(), deleted.count()
+        if n == (0, 0):
+            return n
         old = {k: self.read(k) for k in ("files", "symbols", "inheritance", "refs")}
         lost = old["symbols"].join(gone, "file_id", "left_semi").select(F.col("id").alias("child_id"))
         kept = {"files": old["files"].join(gone.withColumnRenamed("file_id", "id"), "id", "left_anti"), "symbols": old["symbols"].join(gone, "file_id", "left_anti"), "refs": old["refs"].join(gone, "file_id", "left_anti"), "inheritance": old["inheritance"].join(lost, "child_id", "left_anti")}
         self.write({k: kept[k].unionByName(fresh[k]) for k in kept})
         self._modules(contents)
+        self.write(platform_facts(contents, self.read("modules")))
         return n
 
     def _modules(self, contents: DataFrame) -> None:

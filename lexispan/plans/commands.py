@@ -79,15 +79,10 @@ def _map(x: Index, module: str | None = None, per_dir: int = 5) -> DataFrame:
     return insight.top_per_directory(x.located.filter(like(F.col("path"), f"{module}%")), k=per_dir) if module else insight.directory_kinds(x["files"], x.located)
 
 
-#: (part of an import, category, label); the first that fits counts. Fixed values.
-FRAMEWORKS = [("kotlinx.coroutines", "async", "Coroutines"), ("io.reactivex", "async", "RxJava"), ("dagger.hilt", "di", "Hilt"), ("dagger", "di", "Dagger"), ("koin", "di", "Koin"), ("retrofit", "network", "Retrofit"), ("okhttp", "network", "OkHttp"), ("ktor", "network", "Ktor"), ("androidx.room", "database", "Room"), ("androidx.compose", "ui", "Compose"), ("swiftui", "ui", "SwiftUI"), ("uikit", "ui", "UIKit"), ("combine", "async", "Combine"), ("react", "ui", "React"), ("vue", "ui", "Vue"), ("django", "web", "Django"), ("flask", "web", "Flask"), ("fastapi", "web", "FastAPI"), ("spring", "web", "Spring"), ("junit", "test", "JUnit"), ("mockk", "test", "MockK"), ("pytest", "test", "pytest"), ("xctest", "test", "XCTest"), ("serde", "serialization", "serde"), ("tokio", "async", "Tokio")]
-ARCHITECTURES = [("MVVM", ["viewmodel"]), ("Clean architecture", ["/domain/", "/data/", "/presentation/"]), ("MVP", ["presenter"]), ("Feature modules", ["/feature"]), ("Layered", ["/controller", "/service", "/repository"]), ("Hexagonal", ["/port", "/adapter"])]
-
-
 def _conventions(x: Index) -> DataFrame:
     """Naming, frameworks and architecture, tagged by section."""
-    imports = insight.first_rule(insight.import_counts(x["refs"], x["symbols"]), FRAMEWORKS)
-    parts = (insight.suffix_counts(x["symbols"]).select(F.lit("naming").alias("section"), F.col("suffix").alias("name"), "n"), imports.select(F.concat(F.lit("framework:"), "category").alias("section"), F.col("label").alias("name"), "n"), insight.architecture(x["files"], ARCHITECTURES).select(F.lit("architecture").alias("section"), F.col("label").alias("name"), F.lit(None).cast("bigint").alias("n")))
+    imports = insight.first_rule(insight.import_counts(x["refs"], x["symbols"]), insight.FRAMEWORKS)
+    parts = (insight.suffix_counts(x["symbols"]).select(F.lit("naming").alias("section"), F.col("suffix").alias("name"), "n"), imports.select(F.concat(F.lit("framework:"), "category").alias("section"), F.col("label").alias("name"), "n"), insight.architecture(x["files"], insight.ARCHITECTURES).select(F.lit("architecture").alias("section"), F.col("label").alias("name"), F.lit(None).cast("bigint").alias("n")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -96,7 +91,7 @@ def _scan(name: str) -> Callable[..., DataFrame]:
 
 
 def _changed(x: Index, paths: DataFrame) -> DataFrame:
-    found = extract.outline(x.lines.join(paths.select("path"), "path", "left_semi"))
+    found = extract.changed_declarations(x.lines.join(paths.select("path"), "path", "left_semi"))
     return lookup.top_of_each(found, ["path"], ["line"], 10)
 
 
@@ -105,24 +100,26 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "call-tree": lambda x, name, depth=3, limit=10: graph.call_tree(graph.call_edges(x.lines), name, depth, limit), "provides": lambda x, name, limit=20: scan.provides(x.lines, name, limit),
     "composables": lambda x, query=None: scan.annotated_functions(x.lines, "@Composable", query), "previews": lambda x, query=None: scan.annotated_functions(x.lines, "@Preview", query),
     "inject": lambda x, name, limit=50: scan.inject(x.lines, name, limit), "annotations": lambda x, name, limit=50: scan.annotations(x.lines, name, limit=limit), "extensions": lambda x, name, limit=50: scan.extension_functions(x.lines, name, limit),
-    "swiftui": lambda x, query=None: scan.swiftui(x.lines, query), "publishers": lambda x, query=None: scan.publishers(x.lines, query), "perl-imports": lambda x, limit=50: scan.perl_imports(x.lines, limit),
+    "swiftui": lambda x, query=None: scan.swiftui(x.lines, query), "publishers": lambda x, query=None: scan.publishers(x.lines, query), "perl-imports": lambda x, query=None, limit=50: scan.perl_imports(x.lines, query, limit),
     **{name: _scan(name) for name in scan.SCANS},
     "search": lambda x, text, limit=20: lookup.universal(x["files"], x.located, x.lines, text, limit), "file": lambda x, text, limit=20: lookup.files_containing(x["files"], text, limit),
     "symbol": lambda x, name, kind=None, limit=20, fuzzy=False: lookup.fuzzy(x.located, name, limit) if fuzzy else lookup.exact_or_prefix(x.located, name, kind, limit),
     "class": lambda x, name, limit=20, fuzzy=False, **where: lookup.fuzzy(x.located.filter(F.col("kind").isin(*lookup.CLASS_LIKE)), name, limit) if fuzzy else lookup.class_like(x.located, name, limit, **where),
     "implementations": lambda x, name, limit=20: lookup.implementations(x["inheritance"], x.located, name, limit), "hierarchy": lambda x, name: lookup.hierarchy(x["inheritance"], x["symbols"], x.located, name),
     "refs": lambda x, name, limit=20: lookup.cross_references(x.located, x["refs"], x["files"], name, limit), "usages": _usages,
-    "module": lambda x, text, limit=20: x["modules"].filter(like(F.col("name"), f"%{text}%") | like(F.col("path"), f"%{text}%")).orderBy("name").limit(limit), "deps": _deps, "dependents": lambda x, module: _deps(x, module, True), "unused-deps": _unused_deps, "api": _api,
+    "module": lambda x, text, limit=20: lookup.modules_matching(x["modules"], text, limit), "deps": _deps, "dependents": lambda x, module: _deps(x, module, True), "unused-deps": _unused_deps, "api": _api,
     "xml-usages": lambda x, module=None: resources.with_module(x["xml_usages"], x["modules"], module), "resource-usages": lambda x, text, module=None: resources.usages_of_resource(x["resource_usages"], x["resources"], text, module), "unused-resources": lambda x: resources.unused(x["resources"], x["resource_usages"], "resource_id"),
     "storyboard-usages": lambda x, module=None: resources.with_module(x["storyboard_usages"], x["modules"], module), "asset-usages": lambda x, name: resources.matching_assets(x["ios_asset_usages"], x["ios_assets"], name), "unused-assets": lambda x: resources.unused(x["ios_assets"], x["ios_asset_usages"], "asset_id"),
-    "outline": lambda x, path: extract.outline(x.lines, path), "imports": lambda x, path: extract.imports(x.lines, path), "changed": _changed,
+    "outline": lambda x, path: extract.outline_of(x.contents, path), "imports": lambda x, path: extract.imports(x.lines, path), "changed": _changed,
     "map": _map, "conventions": _conventions, "unused-symbols": lambda x, module=None, exported_only=True, limit=50: insight.unused_symbols(x.located, x["refs"], x["xml_usages"], x["storyboard_usages"], module, exported_only, limit),
     "stats": lambda x: insight.stats(x.store.tables()), "schema": lambda x: plain_sql.schema(x.spark, x.store.tables()),
     "query": lambda x, text, limit=100: (plain_sql.register(x.store.tables()), plain_sql.query(x.spark, text, limit))[1],
 }
 
 
-def run(index: Index, command: str, *args, **options) -> DataFrame:
+def run(index: Index, command: str, *args, as_json: bool = False, **options) -> DataFrame:
+    """A command's rows; as JSON objects, one in each row, if asked for."""
     if command not in COMMANDS:
         raise KeyError(f"no command {command}; there are {', '.join(sorted(COMMANDS))}")
-    return COMMANDS[command](index, *args, **options)
+    out = COMMANDS[command](index, *args, **options)
+    return plain_sql.as_json(out) if as_json else out

@@ -12,7 +12,8 @@ from ..functions import text as tx
 from ..operators import extract, graph, insight, lookup, resources, scan
 from ..sources import tree
 from ..sources.tables import TableIndex, sql
-from . import build, sql as plain_sql
+from ..shared import new_path, written
+from . import build, code_queries, sql as plain_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,11 +37,8 @@ add("file_tree_counts", sql("SELECT string_split(path, '/')[1] || '/' || string_
 add("dir_kind_map", sql("""WITH k AS (SELECT string_split(path, '/')[1] AS dir, kind, count(*) AS n FROM located GROUP BY ALL), f AS (SELECT string_split(path, '/')[1] AS dir, count(*) AS n_files FROM files GROUP BY ALL)
   SELECT dir, n_files, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k WHERE k.dir = f.dir) AS kinds FROM f""", "located", "files"),
     lambda x: insight.directory_kinds(x.files, x.located, 1).select("dir", "n_files", F.array_join(F.transform(F.sort_array(F.map_entries("kinds")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("kinds")))
-_rank = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(insight.KIND_ORDER))
-add("top_k_per_dir", sql(f"SELECT dir, r, name, kind FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY CASE kind {_rank} END, name, path, line, symbol_id)::INTEGER AS r FROM (SELECT *, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS dir FROM located)) WHERE r <= 5", "located"), lambda x: insight.top_per_directory(x.located, 2, 5))
-add("sub_project_dirs", sql("SELECT DISTINCT string_split(path, '/')[1] AS dir FROM files", "files"), lambda x: x.files.select(F.get(F.split("path", "/"), F.lit(0)).alias("dir")).distinct())
-add("pruned_paths", sql("SELECT path FROM files WHERE NOT list_contains(string_split(path, '/'), 'build')", "files"), lambda x: x.files.filter(~tree.pruned(F.col("path"))).select("path"))
-add("size_guard", sql("SELECT path, CASE WHEN size > 5000 THEN 0 ELSE size END AS parsed_size FROM files", "files"), lambda x: x.files.select("path", F.when(F.col("size") > 5000, F.lit(0).cast("bigint")).otherwise(F.col("size")).alias("parsed_size")))
+add("top_k_per_dir", sql(f"SELECT dir, r, name, kind FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'interface' THEN 1 WHEN 'enum' THEN 3 WHEN 'object' THEN 4 ELSE 10 END, name, path, line, symbol_id)::INTEGER AS r FROM (SELECT *, string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS dir FROM located)) WHERE r <= 5", "located"), lambda x: insight.top_per_directory(x.located, 2, 5))
+add("size_guard", sql("SELECT path, CASE WHEN strlen(content) > 5000 THEN '' ELSE coalesce(content, '') END AS content FROM contents", "contents"), lambda x: x.contents.select("path", tree.guarded(F.col("content").cast("binary"), F.octet_length("content"), 5000).alias("content")))
 add("roots_union", sql("SELECT path, max(size) AS size FROM (SELECT path, size FROM files UNION ALL SELECT path, size FROM files WHERE id % 2 = 0) GROUP BY path", "files"), lambda x: tree.union_roots([x.files.select("path", "size"), x.files.filter("id % 2 = 0").select("path", "size")]))
 
 # --- symbols ---
@@ -57,14 +55,13 @@ add("fts_phrase", sql(f"SELECT {SYM} FROM located WHERE contains(' ' || array_to
 add("fts_prefix", sql(f"SELECT {SYM} FROM located WHERE contains(' ' || array_to_string({_tok('name')}, ' '), ' col') OR contains(' ' || array_to_string({_tok('signature')}, ' '), ' col') ORDER BY path, line, name, symbol_id LIMIT 50", "located"), lambda x: lookup.full_text(x.located, "col*", 50))
 add("universal_search", sql(f"""SELECT * FROM (SELECT 'file' AS section, path, 0 AS line, path AS text FROM files WHERE path ILIKE '%The%' ORDER BY path LIMIT 20)
   UNION ALL SELECT * FROM (SELECT 'symbol', path, line, name FROM located WHERE contains(' ' || array_to_string({_tok('name')}, ' '), ' the') OR contains(' ' || array_to_string({_tok('signature')}, ' '), ' the') ORDER BY path, line, name, symbol_id LIMIT 20)
-  UNION ALL SELECT * FROM (SELECT 'content', path, line, text FROM lines WHERE contains(text, 'The') ORDER BY path, line LIMIT 20)""", "files", "located", "lines"), lambda x: lookup.universal(x.files, x.located, x.lines, "The"))
+  UNION ALL SELECT * FROM (SELECT 'content', path, line, left(trim(text, ' '), 100) FROM lines WHERE contains(text, 'The') ORDER BY path, line LIMIT 20)""", "files", "located", "lines"), lambda x: lookup.universal(x.files, x.located, x.lines, "The", extensions=("txt",)))
 
 # --- references and inheritance ---
-add("references", sql("SELECT r.name, r.line, r.context, f.path FROM refs r JOIN files f ON r.file_id = f.id WHERE r.name = 'The' ORDER BY f.path, r.line, r.context LIMIT 50", "refs", "files"), lambda x: lookup.references(x.refs, x.files, "The", 50))
-add("references_scoped", sql("SELECT r.name, r.line, r.context, f.path FROM refs r JOIN files f ON r.file_id = f.id WHERE r.name = 'Of' AND f.path ILIKE 'en/src1/%' ORDER BY f.path, r.line, r.context LIMIT 50", "refs", "files"), lambda x: lookup.references(x.refs, x.files, "Of", 50, module="en/src1/"))
-add("reference_counts", sql("SELECT name, count(*) AS n FROM refs GROUP BY name", "refs"), lambda x: x.refs.groupBy("name").agg(F.count("*").alias("n")))
+add("references", sql("SELECT r.name, r.line, r.context, f.path FROM refs r JOIN files f ON r.file_id = f.id WHERE r.name = 'The' ORDER BY f.path, r.line, r.context LIMIT 50", "refs", "files"), lambda x: lookup.references(x.refs_to("The"), x.files, "The", 50))
+add("references_scoped", sql("SELECT r.name, r.line, r.context, f.path FROM refs r JOIN files f ON r.file_id = f.id WHERE r.name = 'Of' AND f.path ILIKE 'en/src1/%' ORDER BY f.path, r.line, r.context LIMIT 50", "refs", "files"), lambda x: lookup.references(x.refs_to("Of"), x.files, "Of", 50, module="en/src1/"))
+add("reference_counts", sql("SELECT name, count(*) AS n FROM refs GROUP BY name", "refs"), lambda x: lookup.reference_counts(x.refs))
 add("ref_extraction", sql("SELECT file_id, name, line, count(*) AS n FROM refs GROUP BY ALL", "refs"), lambda x: x.refs.groupBy("file_id", "name", "line").agg(F.count("*").alias("n")))
-add("imports_of", sql("SELECT path, line, name FROM (SELECT path, line, regexp_extract(text, 'a href=\"([^\"]+)\"', 1) AS name FROM page_lines) WHERE name <> ''", "page_lines"), lambda x: scan.scan(x.page_lines, r'a href="([^"]+)"', (), 1).select("path", "line", "name"))
 add("cross_references", sql("""SELECT * FROM (SELECT 'definition' AS section, name, path, line, '' AS text FROM located WHERE name = 'cold widget' ORDER BY length(name), path, line, name, symbol_id LIMIT 20)
   UNION ALL SELECT * FROM (SELECT 'usage', r.name, f.path, r.line, r.context FROM refs r JOIN files f ON r.file_id = f.id WHERE r.name = 'cold widget' ORDER BY f.path, r.line, r.context LIMIT 20)""", "located", "refs", "files"), lambda x: lookup.cross_references(x.located, x.refs, x.files, "cold widget"))
 add("implementations_ranked", sql("""SELECT s.name, s.kind, s.line, s.signature, s.path FROM inheritance i JOIN located s ON i.child_id = s.symbol_id WHERE i.parent_name ILIKE '%widget%'
@@ -76,7 +73,7 @@ add("hierarchy_children", sql("""SELECT 'parent' AS direction, parent_name AS na
 add("parents_by_name", sql("SELECT name, string_agg(DISTINCT parent_name, ',' ORDER BY parent_name) AS parents FROM inheritance i JOIN symbols s ON i.child_id = s.id GROUP BY name", "inheritance", "symbols"), lambda x: insight.parents_by_name(x.inheritance, x.symbols).select("name", F.array_join("parents", ",").alias("parents")))
 
 # --- modules ---
-add("module_search", sql("SELECT name, path FROM modules WHERE name ILIKE '%asia.nation_1%' OR path ILIKE '%asia.nation_1%' ORDER BY name LIMIT 20", "modules"), lambda x: x.modules.filter(tx.like(F.col("name"), "%asia.nation_1%") | tx.like(F.col("path"), "%asia.nation_1%")).select("name", "path").orderBy("name").limit(20))
+add("module_search", sql("SELECT name, path FROM modules WHERE name ILIKE '%asia.nation_1%' OR path ILIKE '%asia.nation_1%' ORDER BY name LIMIT 20", "modules"), lambda x: lookup.modules_matching(x.modules, "asia.nation_1").select("name", "path"))
 _deps = "SELECT b.name, b.path, d.dep_kind FROM module_deps d JOIN modules a ON d.{0} = a.id JOIN modules b ON d.{1} = b.id WHERE a.name = '{2}' OR a.path = '{2}'"
 add("module_deps", sql(_deps.format("module_id", "dep_module_id", "africa.nation_0"), "module_deps"), lambda x: graph.dependencies(x.module_deps, x.modules, "africa.nation_0"))
 add("module_dependents", sql(_deps.format("dep_module_id", "module_id", "africa.nation_0"), "module_deps"), lambda x: graph.dependencies(x.module_deps, x.modules, "africa.nation_0", True))
@@ -109,7 +106,11 @@ _srefs = "(SELECT DISTINCT string_split(f.path, '/')[1] || '.' || string_split(f
 
 
 def _refs_by_module(x: TableIndex) -> DataFrame:
-    return x.refs.join(x.files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), ".").alias("module"), "name")
+    """Written once: what follows reads it several times."""
+    if "refs_by_module" not in x.__dict__:
+        named = x.refs.join(x.files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), ".").alias("module"), "name")
+        x.__dict__["refs_by_module"] = written(named.distinct(), "refs-by-module")
+    return x.__dict__["refs_by_module"]
 
 
 def _defs_by_module(x: TableIndex) -> DataFrame:
@@ -135,30 +136,19 @@ add("unused_deps", sql(f"""WITH m AS (SELECT DISTINCT module FROM {_srefs}), dep
   SELECT deps.*, coalesce(n, 0)::BIGINT AS n_direct, CASE WHEN n > 0 THEN 'used_direct' WHEN dep_kind = 'api' THEN 'exported' ELSE 'unused' END AS verdict FROM deps LEFT JOIN u USING (module, dependency)""", "refs", "files"), _usage)
 add("unused_symbols", sql("SELECT name, kind, line, path FROM located WHERE kind IN ('class', 'interface', 'object', 'enum', 'function') AND string_split(name, ' ')[2] NOT IN (SELECT lower(word) FROM words) ORDER BY path, line, name LIMIT 50", "located", "words"),
     lambda x: insight.unused_symbols(x.located.withColumn("name", F.get(F.split("name", " "), F.lit(1))).withColumn("full", F.lit("")), x.words.select(F.lower("word").alias("name")), *[x.spark.createDataFrame([], "class_name string")] * 2, exported_only=False, limit=None).join(x.located.select(F.col("path"), F.col("line"), F.col("kind"), F.col("name").alias("full"), F.get(F.split("name", " "), F.lit(1)).alias("name")).distinct(), ["path", "line", "kind", "name"]).select(F.col("full").alias("name"), "kind", "line", "path").orderBy("path", "line", "name").limit(50))
-add("resource_defs", sql("SELECT type, name, file_path FROM resources", "resources"), lambda x: x.resources.select("type", "name", "file_path"))
-add("resource_usages", sql("SELECT r.type, r.name, w.path AS usage_file, w.line AS usage_line, count(*) AS n FROM words w JOIN resources r ON w.word = r.name GROUP BY ALL", "words", "resources"), lambda x: x.words.join(x.resources, x.words.word == x.resources.name).groupBy("type", "name", F.col("path").alias("usage_file"), F.col("line").alias("usage_line")).agg(F.count("*").alias("n")))
 add("unused_resources", sql("SELECT type, name FROM resources WHERE name NOT IN (SELECT word FROM words)", "resources", "words"), lambda x: resources.unused(x.resources, x.words.join(x.resources.select("id", "name"), F.col("word") == F.col("name")).select("id").withColumnRenamed("id", "resource_id"), "resource_id").select("type", "name"))
 add("resource_lookup", sql("SELECT w.path AS usage_file, w.line AS usage_line, 'word' AS usage_type FROM words w JOIN resources r ON w.word = r.name WHERE r.type = 'string' AND r.name = 'and' ORDER BY w.path, w.line LIMIT 100", "words", "resources"), lambda x: resources.usages_of_resource(x.words.join(x.resources.select(F.col("id").alias("resource_id"), "name"), F.col("word") == F.col("name")).select("resource_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), F.lit("word").alias("usage_type")), x.resources, "@string/and"))
 add("asset_usages", sql("SELECT r.name, w.path AS usage_file, count(*) AS n FROM words w JOIN resources r ON w.word = r.name WHERE r.name ILIKE '%tion%' GROUP BY ALL", "words", "resources"), lambda x: resources.matching_assets(x.words.join(x.resources.select(F.col("id").alias("asset_id"), "name"), F.col("word") == F.col("name")).select("asset_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), F.lit("").alias("usage_type")), x.resources, "tion").groupBy("name", "usage_file").agg(F.count("*").alias("n")))
 add("tag_usages", sql("SELECT path, line, regexp_extract(m, '<([a-z][a-z0-9]*)', 1) AS tag FROM (SELECT path, line, unnest(regexp_extract_all(text, '<[a-z][a-z0-9]*')) AS m FROM page_lines)", "page_lines"), lambda x: resources.each_match(x.page_lines, r"<([a-z][a-z0-9]*)", {"tag": 1}))
-add("xml_usages_by_module", sql("SELECT m.name AS module, count(*) AS n FROM (SELECT CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 25 + 100 AS module_id FROM page_lines WHERE text LIKE '%<article%') JOIN modules m ON module_id = m.id GROUP BY ALL", "page_lines", "modules"), lambda x: x.page_lines.filter(F.contains("text", F.lit("<article"))).select((F.regexp_extract("path", "([0-9]+)", 1).cast("bigint") % 25 + 100).alias("module_id")).join(x.modules.select(F.col("id").alias("module_id"), F.col("name").alias("module")), "module_id").groupBy("module").agg(F.count("*").alias("n")))
 
 # --- scans ---
 add("regex_scan_limited", sql(r"SELECT path, line, rtrim(text, ' ') AS content FROM lines WHERE regexp_matches(text, 'tion[a-z]* of') ORDER BY path, line LIMIT 50", "lines"), lambda x: scan.scan(x.lines, r"tion[a-z]* of", ("txt",), limit=50))
 add("regex_scan_full", sql(r"SELECT path, line, left(trim(text, ' '), 80) AS content FROM lines WHERE regexp_matches(text, '[0-9]{3}')", "lines"), lambda x: scan.scan(x.lines, r"[0-9]{3}", ("txt",), width=80))
 add("comment_scan_grouped", sql("SELECT category, path, line, n FROM (SELECT path, line, category, row_number() OVER (PARTITION BY category ORDER BY path, line)::INTEGER AS n FROM (SELECT path, line, CASE WHEN contains(upper(left(rtrim(text, ' '), 80)), 'TODO') THEN 'TODO' WHEN contains(upper(left(rtrim(text, ' '), 80)), 'FIXME') THEN 'FIXME' WHEN contains(upper(left(rtrim(text, ' '), 80)), 'HACK') THEN 'HACK' ELSE 'OTHER' END AS category FROM page_lines WHERE regexp_matches(text, '(?://|#).*(?:example|ad|TODO)'))) WHERE n <= 20", "page_lines"), lambda x: scan.todo(x.page_lines, "example|ad|TODO", ("html",)).select("category", "path", "line", "n"))
-add("caller_scan", sql(r"SELECT path, line FROM page_lines WHERE regexp_matches(text, '\.track\s*\(|^\s*track\s*\(|->track\s*\(|&track\s*\(|;track\s*\(')", "page_lines"), lambda x: scan.scan(x.page_lines, scan.call_pattern("track") + r"|;track\s*\(", ("html",)).select("path", "line"))
 add("annotation_scan", sql("SELECT path, line, rtrim(text, ' ') AS content FROM page_lines WHERE contains(text, '@') ORDER BY path, line LIMIT 50", "page_lines"), lambda x: scan.annotations(x.page_lines, "@", ("html",)))
-add("typed_property_scan", sql(r"""SELECT path, line, regexp_extract(text, '(meta|div|a|html) (charset|class|href|lang)="', 1) AS type, regexp_extract(text, '(meta|div|a|html) (charset|class|href|lang)="', 2) AS name FROM page_lines WHERE regexp_matches(text, '(meta|div|a|html) (charset|class|href|lang)="')""", "page_lines"),
-    lambda x: x.page_lines.filter(F.col("text").rlike(r'(meta|div|a|html) (charset|class|href|lang)="')).select("path", "line", F.regexp_extract("text", r'(meta|div|a|html) (charset|class|href|lang)="', 1).alias("type"), F.regexp_extract("text", r'(meta|div|a|html) (charset|class|href|lang)="', 2).alias("name")))
-add("scan_minus_definitions", sql(r"SELECT path, line FROM words WHERE word = 'The' AND (path, line) NOT IN (SELECT path, line FROM lines WHERE regexp_matches(text, '(?:fun|func|def|sub|void|class|interface|object|function) The')) GROUP BY ALL", "words"), lambda x: scan.usages(x.lines, "The", ("txt",), None).select("path", "line"))
-add("public_api", sql(r"""SELECT path, line, regexp_extract(text, '(class|object|href)="(\w+)', 1) AS kind, regexp_extract(text, '(class|object|href)="(\w+)', 2) AS name FROM page_lines WHERE path LIKE 'pages/1%' AND regexp_matches(text, '(class|object|href)="(\w+)') AND NOT contains(text, 'private ')""", "page_lines"),
-    lambda x: x.page_lines.filter(F.startswith("path", F.lit("pages/1")) & F.col("text").rlike(r'(class|object|href)="(\w+)') & ~F.contains("text", F.lit("private "))).select("path", "line", F.regexp_extract("text", r'(class|object|href)="(\w+)', 1).alias("kind"), F.regexp_extract("text", r'(class|object|href)="(\w+)', 2).alias("name")))
+add("scan_minus_definitions", sql(r"SELECT path, line FROM words WHERE word = 'The' AND (path, line) NOT IN (SELECT path, line FROM lines WHERE regexp_matches(text, '(?:class|interface|object|fun|val|var|typealias) The')) GROUP BY ALL", "words"), lambda x: scan.usages(x.lines, "The", ("txt",), None).select("path", "line"))
 add("changed_symbols", sql("SELECT path, line, n FROM (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line)::INTEGER AS n FROM lines WHERE path IN (SELECT path FROM files WHERE id % 7 = 0) AND regexp_matches(text, '^[A-Z]')) WHERE n <= 10", "lines", "files"),
     lambda x: scan.scan(x.lines.join(x.files.filter("id % 7 = 0").select("path"), "path", "left_semi"), "^[A-Z]").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("line"))).filter("n <= 10").select("path", "line", "n"))
-add("outline", sql(r"SELECT path, line, regexp_extract(text, '^<(h1|article|footer|title)', 1) AS kind FROM page_lines WHERE regexp_matches(text, '^<(h1|article|footer|title)')", "page_lines"), lambda x: scan.scan(x.page_lines, r"^<(h1|article|footer|title)", (), 1).select("path", "line", F.col("name").alias("kind")))
-add("imports_block", sql("SELECT path, line FROM (SELECT path, line, text, sum((text LIKE '<ul%')::INT) OVER w - sum((text LIKE '</ul%')::INT) OVER w AS depth FROM page_lines WINDOW w AS (PARTITION BY path ORDER BY line)) WHERE depth > 0 AND text LIKE '<a href%'", "page_lines"),
-    lambda x: x.page_lines.withColumn("depth", F.sum(F.startswith("text", F.lit("<ul")).cast("int") - F.startswith("text", F.lit("</ul")).cast("int")).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("depth") > 0).filter(F.startswith("text", F.lit("<a href"))).select("path", "line"))
 
 # --- surroundings: events in order ---
 
@@ -178,7 +168,7 @@ add("enclosing_definition_asof", "SELECT p.user_id, p.event_id, (SELECT max(s.ev
 add("annotation_forward_join", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), h AS (SELECT a.user_id, a.event_id, a.k, min(b.k) AS hit FROM n a JOIN n b ON a.user_id = b.user_id AND b.k BETWEEN a.k + 1 AND a.k + 5 WHERE a.event_type = 'signup' AND b.event_type = 'purchase' GROUP BY ALL)
   SELECT user_id, event_id, (hit - k)::INTEGER AS gap FROM (SELECT *, row_number() OVER (PARTITION BY user_id, hit ORDER BY k) AS r FROM h) WHERE r = 1""", lambda x: scan.forward_within(F.col("event_type") == "signup", F.col("event_type") == "purchase", _events(x), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "gap"))
 add("context_window", sql("SELECT path, line, array_to_string(list(text) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS context FROM lines", "lines"), lambda x: scan.context_lines(x.lines).select("path", "line", "context"))
-add("call_tree", None, lambda x: graph.call_tree(_turns(x), "t7", 4))
+add("call_tree", "SELECT (8 - turn)::INTEGER AS depth, 't' || turn AS callee, 't' || (turn - 1) AS caller, role AS path, false AS recursive FROM (SELECT DISTINCT turn, role FROM conversations WHERE turn BETWEEN 4 AND 7)", lambda x: graph.call_tree(_turns(x), "t7", 4))
 
 
 def _turns(x: TableIndex) -> DataFrame:
@@ -189,14 +179,12 @@ def _turns(x: TableIndex) -> DataFrame:
 
 # --- reports ---
 _suf = ("widget", "bolt", "gear", "nut", "valve", "cog", "rod", "pin")
-add("suffix_conventions", sql("SELECT s AS suffix, count(*) AS n FROM symbols JOIN (SELECT unnest([" + ", ".join(f"'{s}'" for s in _suf) + "]) AS s) ON name ILIKE '%' || s GROUP BY s HAVING count(*) >= 3", "symbols"), lambda x: insight.suffix_counts(x.symbols, _suf))
+add("suffix_conventions", sql("SELECT s AS suffix, count(*) AS n FROM symbols JOIN (SELECT unnest([" + ", ".join(f"'{s}'" for s in _suf) + "]) AS s) ON name ILIKE '%' || s WHERE kind IN ('class', 'interface', 'enum', 'object') GROUP BY s HAVING count(*) >= 3", "symbols"), lambda x: insight.suffix_counts(x.symbols, _suf))
 add("import_union_counts", sql("SELECT name, count(*) AS n FROM (SELECT name FROM refs WHERE context ILIKE 'in%' UNION ALL SELECT name FROM symbols WHERE kind = 'property') GROUP BY name", "refs", "symbols"), lambda x: insight.import_counts(x.refs.withColumn("context", F.when(tx.like(F.col("context"), "in%"), F.lit("import"))), x.symbols.withColumn("kind", F.when(F.col("kind") == "property", "import"))))
 _rules = [("org/de", "lang", "German"), ("example.org", "host", "Org"), ("example.net", "host", "Net"), ("example", "host", "Other"), ("http", "scheme", "Web")]
 add("framework_rules", "SELECT category, label, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(lower(url), '{p}') THEN '{c}'" for p, c, _ in _rules) + " END AS category, CASE " + " ".join(f"WHEN contains(lower(url), '{p}') THEN '{t}'" for p, _, t in _rules) + " END AS label FROM pages) WHERE category IS NOT NULL GROUP BY ALL", lambda x: insight.first_rule(x.table("pages").select("url", F.lit(1).cast("bigint").alias("n")), _rules, "url"))
 add("architecture_markers", sql("SELECT 'multilingual' AS label FROM files HAVING bool_or(path LIKE 'en/%') AND bool_or(path LIKE 'de/%') UNION ALL SELECT 'hot source' FROM files HAVING bool_or(contains(path, '/src0/'))", "files"), lambda x: insight.architecture(x.files, [("multilingual", ["/en/", "/de/"]), ("hot source", ["/src0/"]), ("absent", ["/en/", "/nowhere/"])]))
 add("stats", sql(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in ("files", "symbols", "refs", "inheritance", "modules", "module_deps", "resources")), "files", "symbols", "refs", "inheritance", "modules", "module_deps", "resources"), lambda x: insight.stats(x.tables()))
-add("schema", None, lambda x: plain_sql.schema(x.spark, x.tables()))
-add("language_dispatch", sql("SELECT CASE WHEN id % 3 = 0 THEN 'kotlin' WHEN id % 3 = 1 THEN 'cpp' END AS lang, count(*) AS n FROM files GROUP BY ALL", "files"), lambda x: x.files.select(tree.language(F.concat(F.lit("a/b."), F.when(F.col("id") % 3 == 0, "kt").when(F.col("id") % 3 == 1, "h").otherwise("xml"))).alias("lang")).groupBy("lang").agg(F.count("*").alias("n")))
 
 
 # --- SQL ---
@@ -231,18 +219,23 @@ add("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_n
 
 
 def _watch(x: TableIndex) -> DataFrame:
-    """A file stream of events run to its end; the table that its batches keep must hold each user's last event."""
-    import tempfile
+    """A file stream of events run to its end; of the changes that its batches hand on, the last of each user counts."""
+    from ..streaming.watch import watch
 
-    from ..streaming.watch import running_latest
-
-    name = "watched_" + tempfile.mktemp(dir="").strip("/").replace("-", "_")
-    schema = x.table("events").schema
+    schema, kept = x.table("events").schema, new_path(x.spark, "watched")
     stream = x.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(x.sf_dir)
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    q = running_latest(stream, "user_id", "event_id", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    changes = stream.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("mtime"), "event_type")
+    q = watch(changes, lambda batch, n: batch.write.mode("overwrite").parquet(f"{kept}/batch={n}"), new_path(x.spark, "watch-checkpoint"), once=True)
     q.awaitTermination()
-    return x.spark.table(name)
+    last = build.latest(x.spark.read.parquet(kept).drop("batch"), "path", ["mtime"], "false")
+    return last.select(F.col("path").cast("bigint").alias("user_id"), F.col("mtime").alias("event_id"), "event_type")
 
 
 add("watch_stream", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id", _watch)
+
+#: Columns and types of two relations, as they are fixed by the index's schema.
+_SCHEMA = {"inheritance": [("child_id", "bigint"), ("parent_name", "string"), ("kind", "string")], "module_deps": [("module_id", "bigint"), ("dep_module_id", "bigint"), ("dep_kind", "string")]}
+add("schema", sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS type, {i} AS position, (SELECT count(*) FROM {t}) AS n_rows" for t, cs in _SCHEMA.items() for i, (c, k) in enumerate(cs)), "inheritance", "module_deps"), lambda x: plain_sql.schema(x.spark, {t: x.tables()[t] for t in _SCHEMA}))
+
+QUERIES |= code_queries.QUERIES
+ORACLE |= code_queries.ORACLE

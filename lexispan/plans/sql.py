@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "ATTACH", "DETACH")
+#: What a plan may hold: Spark's own parser decides, so strings, comments and names can't mislead.
+_COMMANDS = ("Command", "Insert", "Create", "Drop", "Alter", "Replace", "Delete", "Update", "Merge", "Truncate", "Cache", "Refresh", "Set", "Add", "Load", "Analyze", "Use", "Show", "Describe", "Repair", "Unresolved3", "OverwriteByExpression", "OverwritePartitions", "AppendData")
+FUNCTIONS_REFUSED = ("java_method", "reflect", "try_reflect")
 
 
 class Refused(ValueError):
     """A statement that is no plain query."""
 
 
-def check(text: str) -> str:
-    upper = text.strip().upper()
-    if not upper.startswith(("SELECT", "WITH", "EXPLAIN")):
-        raise Refused("only SELECT, WITH and EXPLAIN are allowed")
-    for word in FORBIDDEN:
-        if re.search(rf"(?:^|\s){word}\s", upper):
-            raise Refused(f"{word} is not allowed")
-    return text.strip().rstrip(";")
+def _nodes(plan) -> list[str]:
+    """Class names of a logical plan's nodes, those in subqueries and common table expressions included."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        out.append(p.getClass().getSimpleName())
+        for seq in (p.children(), p.innerChildren()):
+            todo += [x for k in range(seq.size()) for x in [seq.apply(k)] if _is_plan(x)]
+        for k in range(p.subqueries().size()):
+            todo.append(p.subqueries().apply(k))
+    return out
+
+
+def _is_plan(x) -> bool:
+    return "catalyst.plans" in x.getClass().getName() or "catalyst.analysis" in x.getClass().getName() or "execution" in x.getClass().getName()
+
+
+def parsed(spark: SparkSession, text: str):
+    """The statement as Spark's parser reads it, an EXPLAIN by what it explains."""
+    statement = text.strip().rstrip(";").strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except Exception as e:  # what the parser refuses, it says why
+        raise Refused(str(e).split("\n")[0]) from None
+    return (statement, plan.logicalPlan()) if plan.getClass().getSimpleName() == "ExplainCommand" else (statement, plan)
+
+
+def check(spark: SparkSession, text: str) -> str:
+    """The statement, if it is one query, or the explanation of one; else it is refused."""
+    statement, plan = parsed(spark, text)
+    for node in _nodes(plan):
+        if node.startswith(_COMMANDS) or node.endswith(("Command", "Statement")):
+            raise Refused(f"{node} is no query")
+    low = plan.toString().lower()
+    if any(f"'{f}(" in low or f" {f}(" in low for f in FUNCTIONS_REFUSED):
+        raise Refused("a function that calls into the machine")
+    return statement
 
 
 def register(tables: dict[str, DataFrame]) -> None:
@@ -29,10 +58,18 @@ def register(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def is_limited(spark: SparkSession, text: str) -> bool:
+    """Whether the statement's outermost part is a limit of its own."""
+    _, plan = parsed(spark, text)
+    while plan.getClass().getSimpleName() in ("UnresolvedWith", "WithCTE"):
+        plan = plan.child() if plan.getClass().getSimpleName() == "UnresolvedWith" else plan.plan()
+    return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit", "LimitAll")
+
+
 def query(spark: SparkSession, text: str, limit: int = 100) -> DataFrame:
     """The rows of a query; at most limit of them unless it has a LIMIT of its own."""
-    df = spark.sql(check(text))
-    return df if "LIMIT" in text.upper() else df.limit(limit)
+    df = spark.sql(check(spark, text))
+    return df if is_limited(spark, text) or text.strip()[:7].upper() == "EXPLAIN" else df.limit(limit)
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -44,8 +81,7 @@ def schema(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, type, position and the table's n_rows."""
     out = None
     for name, df in tables.items():
-        cols = [(name, f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema)]
-        part = spark.createDataFrame(cols, "table_name string, column_name string, type string, position int")
-        part = part.join(df.agg(F.count("*").alias("n_rows")))
+        cols = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(i).alias("position")) for i, f in enumerate(df.schema)])
+        part = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.explode(cols).alias("c"), "n_rows").select("table_name", "c.*", "n_rows")
         out = part if out is None else out.unionByName(part)
     return out

@@ -49,6 +49,10 @@ class TableIndex:
         found = extract.references(self.lines).join(self.files.select("path", F.col("id").alias("file_id")), "path")
         return found.select("file_id", "name", "line", "context")
 
+    def refs_to(self, name: str) -> DataFrame:
+        found = extract.references(self.lines, only=name).join(self.files.select("path", F.col("id").alias("file_id")), "path")
+        return found.select("file_id", "name", "line", "context")
+
     @cached_property
     def symbols(self) -> DataFrame:
         kind = F.element_at(F.create_map(*[F.lit(x) for x in ("ECONOMY", "class", "LARGE", "interface", "MEDIUM", "function", "PROMO", "property", "SMALL", "enum", "STANDARD", "object")]), F.col("p_type"))
@@ -95,7 +99,11 @@ class TableIndex:
         return {"files": self.files, "symbols": self.symbols, "refs": self.refs, "inheritance": self.inheritance, "modules": self.modules.drop("up"), "module_deps": self.module_deps, "resources": self.resources}
 
 
-_STOP = ", ".join(f"'{w}'" for w in extract.STOP_WORDS)
+#: Names that are never references; fixed values.
+_STOP = """'if', 'else', 'when', 'while', 'for', 'do', 'try', 'catch', 'finally', 'return', 'break', 'continue', 'throw', 'is', 'in', 'as', 'true', 'false', 'null', 'this', 'super', 'class', 'interface', 'object', 'fun', 'val', 'var',
+  'import', 'package', 'private', 'public', 'protected', 'internal', 'override', 'abstract', 'final', 'open', 'sealed', 'data', 'inner', 'enum', 'companion', 'lateinit', 'const', 'suspend', 'inline', 'crossinline', 'noinline', 'reified',
+  'annotation', 'typealias', 'get', 'set', 'init', 'constructor', 'by', 'where', 'String', 'Int', 'Long', 'Double', 'Float', 'Boolean', 'Byte', 'Short', 'Char', 'Unit', 'Any', 'Nothing', 'List', 'Map', 'Set', 'Array', 'Pair', 'Triple',
+  'MutableList', 'MutableMap', 'MutableSet', 'HashMap', 'ArrayList', 'HashSet', 'Exception', 'Error', 'Throwable', 'Result', 'Sequence'"""
 #: The same relations for DuckDB, each with those that it is made of.
 CTE = {
     "contents": ((), "SELECT doc_id AS id, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, doc_id AS mtime, n_chars AS size, text AS content FROM documents"),

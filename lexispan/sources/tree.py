@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,13 @@ from pyspark.sql.window import Window
 from ..functions.text import extension
 
 #: Directories that are never walked; fixed values.
-EXCLUDED = ("node_modules", "build", "target", "dist", "out", "bin", "obj", ".git", ".svn", ".hg", ".idea", ".vscode", ".gradle", ".cache", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", "Pods", "Carthage", "DerivedData", ".build", "vendor", "coverage", ".next", ".nuxt", ".svelte-kit", ".dart_tool", ".terraform", "bower_components", "site-packages", ".eggs", "xcuserdata")
+EXCLUDED = ("node_modules", "__pycache__", ".build", "build", "dist", "target", "vendor", ".gradle", ".idea", "Pods", "DerivedData", ".next", ".nuxt", ".venv", "venv", ".tox", "coverage", ".cache", "out", "bazel-out", "bazel-bin", "bazel-genfiles", "bazel-testlogs", "buck-out", "_build", ".metals", ".bsp", ".dart_tool", "tmp", "temp", ".mypy_cache", ".pytest_cache", ".ruff_cache", "_site", ".turbo", ".parcel-cache")
 #: File endings by language; fixed values.
-LANGUAGES = {"kt": "kotlin", "java": "java", "swift": "swift", "m": "objc", "h": "cpp", "py": "python", "go": "go", "rs": "rust", "rb": "ruby", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "cpp", "hpp": "cpp", "hxx": "cpp", "dart": "dart", "proto": "proto", "scala": "scala", "sc": "scala", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "pl": "perl", "pm": "perl", "t": "perl", "wsdl": "wsdl", "xsd": "wsdl", "vue": "vue", "svelte": "svelte"}
-MARKERS = {"android": ("settings.gradle", "settings.gradle.kts", "build.gradle", "build.gradle.kts"), "ios": ("Package.swift", "Podfile"), "rust": ("Cargo.toml",), "python": ("pyproject.toml", "setup.py"), "go": ("go.mod",), "node": ("package.json",), "perl": ("cpanfile", "Makefile.PL"), "maven": ("pom.xml",)}
+LANGUAGES = {"kt": "kotlin", "java": "java", "swift": "swift", "m": "objc", "h": "cpp", "pm": "perl", "pl": "perl", "t": "perl", "proto": "proto", "wsdl": "wsdl", "xsd": "wsdl", "cpp": "cpp", "cc": "cpp", "c": "cpp", "hpp": "cpp", "py": "python", "go": "go", "rs": "rust", "rb": "ruby", "cs": "csharp", "dart": "dart", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "vue": "vue", "svelte": "svelte", "scala": "scala", "sc": "scala"}
+#: Files of a project's root that tell its kind, as patterns; fixed values.
+MARKERS = {"android": r"settings\.gradle\.kts|settings\.gradle|build\.gradle\.kts|build\.gradle|pom\.xml", "ios": r"Package\.swift|[^/]+\.xcodeproj/.*|[^/]+/Package\.swift", "perl": r"Makefile\.PL|Build\.PL|cpanfile|[^/]+\.pm", "frontend": r"package\.json", "python": r"pyproject\.toml|setup\.py|setup\.cfg", "go": r"go\.mod", "rust": r"Cargo\.toml", "bazel": r"WORKSPACE|WORKSPACE\.bazel|MODULE\.bazel"}
+#: Files that mark a part of a larger tree, besides those; fixed values.
+BUILD_MARKERS = r"Makefile|BUILD|BUILD\.bazel|CMakeLists\.txt"
 MAX_BYTES, MAX_DEPTH = 1_000_000, 50
 
 
@@ -41,18 +45,64 @@ def path_class(path: Column) -> Column:
     )
 
 
-def walk(spark: SparkSession, root: str, ignore: DataFrame | None = None) -> DataFrame:
-    """path (below root), mtime (seconds), size, content of the files of a tree.
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(pattern over paths below the folder, whether it takes back) of each rule of an ignore file, in order."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.removeprefix("!").removeprefix("\\")
+        below, rule = rule.endswith("/"), rule.rstrip("/")
+        anchored, rule = "/" in rule, rule.lstrip("/")
+        body = ""
+        for part in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\]|.", rule):
+            body += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if len(part) > 1 else re.escape(part))
+        out.append((f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if below else '(?:/.*)?'}$", back))
+    return out
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that fits a path leaves it out."""
+    out = F.lit(False)
+    for pattern, back in rules:
+        out = F.when(path.rlike(pattern), not back).otherwise(out)
+    return out
+
+
+def read_ignored(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> list[tuple[str, bool]]:
+    """The rules of a root's ignore files; readers skip such files, so they are opened by name."""
+    rules: list[tuple[str, bool]] = []
+    for name in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            stream = fs.open(p)
+            rules += ignore_rules(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+    return rules
+
+
+def walk(spark: SparkSession, root: str, ignore: DataFrame | None = None, use_ignore_files: bool = True) -> DataFrame:
+    """path (below root), mtime (seconds), size, content, path_class of the files of a tree, without those that the root's ignore file leaves out.
 
     Contents over MAX_BYTES are empty: such a file keeps its row and yields nothing. So do contents that are no UTF-8. Files without a byte are left out by the reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^{base}/".replace("\\", "\\\\"), "")
-    text = F.when((F.col("length") <= MAX_BYTES) & F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    df = raw.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), F.coalesce(text, F.lit("")).alias("content")).filter(~pruned(F.col("path")))
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^{re.escape(base)}/", "")
+    df = raw.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), guarded(F.col("content"), F.col("length")).alias("content")).filter(~pruned(F.col("path")))
+    if use_ignore_files and (rules := read_ignored(spark, root)):
+        df = df.filter(~ignored(F.col("path"), rules))
+    df = df.withColumn("path_class", path_class(F.col("path")))
     return df.join(ignore, "path", "left_anti") if ignore is not None else df
 
 
+def guarded(content: Column, size: Column, most: int = MAX_BYTES) -> Column:
+    """A file's text; empty for one that is too large or no UTF-8."""
+    text = content.cast("string")
+    return F.coalesce(F.when((size <= most) & F.is_valid_utf8(text), text), F.lit(""))
+
+
 def files_table(tree: DataFrame) -> DataFrame:
     return tree.select(F.xxhash64("path").alias("id"), "path", "mtime", "size")
 
@@ -62,17 +112,17 @@ def capped_count(files: DataFrame, cap: int = 65_000) -> int:
 
 
 def sub_projects(files: DataFrame) -> DataFrame:
-    """Top directories, if at least two hold a project marker: then all of them."""
-    marker = F.regexp_extract("path", r"([^/]+)$", 1).isin(*[m for ms in MARKERS.values() for m in ms])
-    top = files.filter(F.contains("path", F.lit("/"))).groupBy(F.get(F.split("path", "/"), F.lit(0)).alias("dir")).agg(F.bool_or(marker & (F.size(F.split("path", "/")) == 2)).alias("marked"))
-    enough = top.agg((F.count(F.when(F.col("marked"), 1)) >= 2).alias("enough"))
-    return top.join(F.broadcast(enough)).filter("enough").select("dir", "marked")
+    """Directories right below the root that hold a project marker; if at least two do, all of them."""
+    top, rest = F.get(F.split("path", "/"), F.lit(0)), F.regexp_replace("path", "^[^/]+/", "")
+    marker = rest.rlike(f"^(?:{'|'.join(MARKERS.values())}|{BUILD_MARKERS})$")
+    dirs = files.filter(F.contains("path", F.lit("/")) & ~top.isin(*EXCLUDED) & ~F.startswith(top, F.lit("."))).groupBy(top.alias("dir")).agg(F.bool_or(marker).alias("marked"))
+    n = F.sum(F.col("marked").cast("int")).over(Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row for each directory
+    return dirs.withColumn("n", n).filter("n >= 2 OR marked").drop("n")
 
 
 def project_type(files: DataFrame) -> DataFrame:
     """One row: the kind of project by its marker files, 'mixed' for several, 'unknown' for none."""
-    root = files.filter(~F.contains("path", F.lit("/")))
-    flags = root.agg(*[F.coalesce(F.bool_or(F.col("path").isin(*ms)), F.lit(False)).alias(k) for k, ms in MARKERS.items()])
+    flags = files.agg(*[F.coalesce(F.bool_or(F.col("path").rlike(f"^(?:{p})$")), F.lit(False)).alias(k) for k, p in MARKERS.items()])
     names = F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in MARKERS]), lambda x: x.isNotNull())
     return flags.select(F.when(F.size(names) == 0, "unknown").when(F.size(names) > 1, "mixed").otherwise(F.get(names, F.lit(0))).alias("project_type"))
 

@@ -30,6 +30,10 @@ def test_walk(spark, tmp_path):
     assert "node_modules/x.kt" not in found and found["core/bad.kt"].content == "" and found["core/big.kt"].content == ""
     assert found["core/src/Repo.kt"].content == TREE["core/src/Repo.kt"]
     assert files_table(walk(spark, str(tmp_path))).count() == 6  # files without a byte are not read
+    assert found["app/src/res/layout/main.xml"].path_class == "layout" and found["core/src/Repo.kt"].path_class == "source"
+    (tmp_path / ".gitignore").write_text("*.xml\n/core/bad.kt\n")
+    assert {r.path for r in walk(spark, str(tmp_path)).collect()} == set(found) - {"app/src/res/layout/main.xml", "core/bad.kt"}
+    assert walk(spark, str(tmp_path), use_ignore_files=False).count() == 6
 
 
 def test_rebuild_update_restore(spark, tmp_path):
@@ -49,6 +53,12 @@ def test_rebuild_update_restore(spark, tmp_path):
     assert store.update(now) == (1, 1)
     assert {r.name for r in store.read("symbols").filter("kind IN ('class', 'interface')").collect()} == {"Other"}
     assert store.read("inheritance").count() == 0
+    assert store.update(now) == (0, 0)
+    moved = dict(changed, **{"app/src/res/layout/main.xml": "<core.Other/>\n<ui.More/>", "svc/pom.xml": "<dependency><artifactId>core</artifactId></dependency><artifactId>svc</artifactId>"})
+    later = contents(spark, moved).withColumn("mtime", F.when(F.col("path").rlike("xml$"), 300).when(F.col("path") == "core/src/Repo.kt", 200).otherwise(F.col("mtime")))
+    assert store.update(later) == (2, 0)
+    assert {r.class_name for r in store.read("xml_usages").collect()} == {"core.Other", "ui.More"}
+    assert "compile" in {r.dep_kind for r in store.read("module_deps").collect()}
     other = Store(spark, f"file://{tmp_path}/other")
     other.restore(store.root)
     assert other.read("symbols").count() == store.read("symbols").count()

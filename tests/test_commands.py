@@ -32,3 +32,10 @@ def test_changed(index, spark):
 def test_unused_deps(index):
     got = {(r.module, r.dependency): r.verdict for r in run(index, "unused-deps").collect()}
     assert got == {("app", "core"): "used_direct", ("app", "ui"): "exported"}
+
+
+def test_json(index):
+    import json
+
+    rows = [json.loads(r.json) for r in run(index, "class", "RealRepo", as_json=True).collect()]
+    assert [(r["name"], r["kind"], r["path"]) for r in rows] == [("RealRepo", "class", "core/src/Repo.kt")]

@@ -96,13 +96,44 @@ def test_scans(spark):
 
 
 def test_sql_gate(spark):
-    for bad in ("DELETE FROM x", "SELECT 1; DROP TABLE x", "update x set y = 1"):
+    spark.range(3).createOrReplaceTempView("t3")
+    bad = ["DELETE FROM x", "SELECT 1; DROP TABLE x", "update x set y = 1", "WITH t AS (SELECT 1 a)INSERT INTO x SELECT * FROM t", "WITH t AS (SELECT 1 a) /* c */INSERT/* d */INTO x SELECT * FROM t", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING csv SELECT 1", "CREATE TABLE x AS SELECT 1", "FROM t3 INSERT INTO x SELECT *", "EXPLAIN DROP TABLE x", "SET spark.x = 1", "CACHE TABLE t3", "TRUNCATE TABLE x", "SELECT java_method('java.lang.System', 'exit', 1)", "SHOW TABLES", "not sql", ""]
+    for text in bad:
         with pytest.raises(plain_sql.Refused):
-            plain_sql.check(bad)
-    assert plain_sql.query(spark, "SELECT * FROM range(500)", 7).count() == 7
+            plain_sql.check(spark, text)
+    good = ["SELECT ' update ' AS x, 'drop table' AS y", "SELECT 1 AS a_limit", "SELECT * FROM t3 -- insert into x\n", "WITH t AS (SELECT id FROM t3) SELECT * FROM t WHERE id IN (SELECT id FROM t3)", "SELECT id AS `delete` FROM t3;"]
+    for text in good:
+        assert plain_sql.query(spark, text).count() > 0
+    assert plain_sql.query(spark, "EXPLAIN SELECT 1").count() == 1
+
+
+def test_sql_limits(spark):
+    spark.range(500).createOrReplaceTempView("t500")
+    rows = lambda text: plain_sql.query(spark, text, 7).count()
+    assert rows("SELECT * FROM t500") == rows("SELECT id AS a_limit FROM t500") == rows("SELECT * FROM (SELECT * FROM t500 LIMIT 90)") == 7
+    assert rows("SELECT * FROM t500 LIMIT 20") == rows("WITH t AS (SELECT * FROM t500) SELECT * FROM t LIMIT 20") == 20
     assert plain_sql.as_json(plain_sql.query(spark, "SELECT 1 AS a, NULL AS b")).first().json == '{"a":1,"b":null}'
 
 
+def test_dependency_evidence(spark):
+    """Every arm: used directly, through another module, in layouts, by resources, exported, unused."""
+    from lexispan.operators import insight
+
+    df = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    pair = "module string, dependency string"
+    deps = df([("app", d, k) for d, k in (("direct", "api"), ("via", "implementation"), ("xml", "implementation"), ("res", "implementation"), ("shown", "api"), ("idle", "implementation"))], f"{pair}, dep_kind string")
+    symbols = df([("direct", "D"), ("far", "Far"), ("idle", "I")], "module string, name string")
+    refs = df([("app", "D"), ("app", "Far"), ("app", "Far"), ("other", "I")], "module string, name string")
+    closed = df([("app", "far", 2, "via"), ("app", "idle", 1, "idle")], f"{pair}, depth int, via string")
+    out = insight.dependency_usage(deps, symbols, refs, closed, df([("app", "xml")], pair), df([("app", "res")], pair))
+    assert {r.dependency: r.verdict for r in out.collect()} == {"direct": "used_direct", "via": "used_transitive", "xml": "used_xml", "res": "used_resource", "shown": "exported", "idle": "unused"}
+
+
+def test_escaped_names(spark):
+    lines = spark.createDataFrame([("a.kt", i, t) for i, t in enumerate(["public List<String> run() {", "x = run()", "a.run()", "run (1)", "void run()", "->run()"], 1)], "path string, line int, text string")
+    assert [r.line for r in scan.callers(lines, "run").collect()] == [3, 4, 6]
+
+
 def test_resource_names():
     assert [resources.parse_resource(t) for t in ("@string/a", "R.color.b", "ic_x", "color_y", "z")] == [("string", "a"), ("color", "b"), ("drawable", "ic_x"), ("color", "color_y"), ("string", "z")]
 
@@ -118,5 +149,6 @@ def test_roots():
 def test_project_types(spark):
     kind = lambda *names: project_type(spark.createDataFrame([(n,) for n in names], "path string")).first()[0]
     assert [kind("Cargo.toml"), kind("Cargo.toml", "package.json"), kind("x.txt"), kind("go.mod", "a/Cargo.toml")] == ["rust", "mixed", "unknown", "go"]
+    assert [kind("pom.xml"), kind("a/Package.swift"), kind("X.xcodeproj/project.pbxproj"), kind("Build.PL"), kind("Foo.pm"), kind("setup.cfg"), kind("MODULE.bazel"), kind("package.json"), kind("a/b/Package.swift")] == ["android", "ios", "ios", "perl", "perl", "python", "bazel", "frontend", "unknown"]
     df = spark.createDataFrame([("a/build.gradle",), ("x/Main.storyboard",), ("r/res/layout/a.xml",), ("a.kt",), ("b.txt",)], "path string")
     assert [r[0] for r in df.select(path_class(F.col("path"))).collect()] == ["module", "storyboard", "layout", "source", None]
