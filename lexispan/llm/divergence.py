@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 from .common import SPACES, bind, cut, documents, words_column
 
 WINDOW_WORDS = 8
-#: Character classes in the order in which they are taken out of the text; what is left is the last class.
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20]+", r"[\x09-\x0D]+", r"\p{L}+", "[.,;:!?'\"()-]+")
+#: Character classes, each without what those before it hold; what is left is the last class.
+BLANKS = r"[\x20]+"
+CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", BLANKS, r"[\x09-\x0D]+", r"\p{L}+", "[.,;:!?'\"()-]+")
 N_COMMON = 24
 MIN_CHARS = 200
 MIN_WORDS = 50
@@ -67,16 +68,21 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_classes(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _classes, the number of characters in each class: each class is taken out in turn, so later ones read little."""
-    df = df.withColumns({"_r0": F.coalesce(F.col(text), F.lit(""))})
-    for k, c in enumerate(CLASSES):
+    """Adds _classes, the number of characters in each class: classes are taken out in turn, so later ones read little.
+
+    Small letters and blanks go in one pass, since together they come in long runs; blanks are counted by themselves."""
+    small, *others = (c for c in CLASSES if c != BLANKS)
+    df = df.withColumns({"_r": F.coalesce(F.col(text), F.lit(""))})
+    df = df.withColumns({"_blanks": F.length("_r") - F.length(F.replace("_r", F.lit(" "), F.lit(""))), "_r0": F.regexp_replace("_r", small.replace("]", r"\x20]"), "")})
+    for k, c in enumerate(others):
         df = df.withColumn(f"_r{k + 1}", F.regexp_replace(f"_r{k}", c, ""))
-    n = [F.length(f"_r{k}").cast("bigint") for k in range(len(CLASSES) + 1)]
-    return df.withColumn("_classes", F.array(*[a - b for a, b in zip(n, [*n[1:], F.lit(0)], strict=True)])).drop(*[f"_r{k}" for k in range(len(CLASSES) + 1)])
+    n = [F.length(f"_r{k}") for k in range(len(others) + 1)]
+    counts = dict(zip(others, [a - b for a, b in zip(n[:-1], n[1:], strict=True)], strict=True)) | {small: F.length("_r") - n[0] - F.col("_blanks"), BLANKS: F.col("_blanks")}
+    return df.withColumn("_classes", F.array(*[counts[c].cast("bigint") for c in CLASSES], n[-1].cast("bigint"))).drop("_r", "_blanks", *[f"_r{k}" for k in range(len(others) + 1)])
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON, min_reference_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
-    """One row per language of enough words, and one for the corpus (key '*'): class counts, commonest words, counts of those and of the rest.
+    """One row per language of enough words, and one for the corpus (key '*'): class counts, commonest words and the length of the longest, counts of those and of the rest.
 
     Counts are pre-aggregated before each shuffle; the commonest words are cut to n_common a language by a ranked
     window whose limit Spark applies before the exchange."""
@@ -91,7 +97,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common
     classes = both(classes).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(CLASSES) + 1)])
     out = totals.join(common, "_lang").join(classes, "_lang").filter((F.col("total") >= min_reference_words) | (F.col("_lang") == "*"))
     kept = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    return out.select("_lang", F.col("s")["word"].alias("_common"), F.concat(F.col("s")["n"], F.array(F.col("total") - kept)).alias("_ref_words"), F.array(*[F.col(f"c{k}") for k in range(len(CLASSES) + 1)]).alias("_ref_classes"))
+    longest = F.array_max(F.transform(F.col("s")["word"], lambda x: F.length(x)))
+    return out.select("_lang", F.col("s")["word"].alias("_common"), longest.alias("_longest"), F.concat(F.col("s")["n"], F.array(F.col("total") - kept)).alias("_ref_words"), F.array(*[F.col(f"c{k}") for k in range(len(CLASSES) + 1)]).alias("_ref_classes"))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -116,9 +123,9 @@ def _judge(docs: DataFrame, text: str, lang: str, fitted: DataFrame | None, min_
     whole = refs.filter("_lang = '*'").select(*[F.col(c).alias(f"{c}_all") for c in refs.columns if c != "_lang"])
     df = with_classes(with_base(docs, text), text).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
     df = df.withColumn("_all", F.lit("*")).join(refs.filter("_lang != '*'"), "_lang", "left").join(whole.withColumn("_all", F.lit("*")), "_all", "left")
-    for c in ("_common", "_ref_words", "_ref_classes"):
+    for c in ("_common", "_longest", "_ref_words", "_ref_classes"):
         df = df.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_all")))
-    df = df.withColumn("_hits", F.transform(F.filter("_words", lambda w: F.array_contains(F.col("_common"), F.lower(w))), F.lower))
+    df = df.withColumn("_hits", F.filter(F.transform(F.filter("_words", lambda w: F.length(w) <= F.col("_longest")), F.lower), lambda w: F.array_contains(F.col("_common"), w)))  # lower case never makes a word shorter
     counts = F.transform("_common", lambda c: (F.size("_hits") - F.size(F.array_remove(F.col("_hits"), c))).cast("bigint"))
     df = df.withColumn("_counts", F.concat(counts, F.array(F.col("n_words") - F.size("_hits"))))
     df = df.withColumns({
