@@ -34,7 +34,7 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Agreement of signatures from which on a pair is decided exactly: 0.8 less 5 standard deviations.
 ESTIMATE = 0.62
-BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 20
 _LAYER = 2.0**-5
 
 
