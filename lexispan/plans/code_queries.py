@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..operators import extract, graph, insight, resources, scan
+from ..shared import shuffled, written
 from ..sources import tree
 from ..sources.code import Code, expected
 from . import build
@@ -525,8 +526,8 @@ add("modules_pods", BUILDS, lambda c: extract.package_managers(c.lines), f"{_MOD
 
 
 def _named_deps(c: Code) -> DataFrame:
-    modules = build.module_tables(c.contents)
-    name = lambda key, to: modules.select(F.col("id").alias(key), F.col("name").alias(to))
+    modules = written(build.module_tables(c.contents), "modules")
+    name = lambda key, to: shuffled(modules.select(F.col("id").alias(key), F.col("name").alias(to)))
     return build.dependency_tables(c.contents, modules).join(name("module_id", "module"), "module_id").join(name("dep_module_id", "dependency"), "dep_module_id").select("module", "dependency", "dep_kind")
 
 

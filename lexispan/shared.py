@@ -28,3 +28,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffles of both sides: Spark takes what comes out of an explode for no larger than what went in, and would send all of it through the driver."""
+    return df.hint("merge")
