@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import written
+from ..shared import shuffled, written
 from .scan import CODE, enclosing_functions, extension
 
 MAX_DEPTH = 5
@@ -55,14 +55,15 @@ def longest_prefix(files: DataFrame, modules: DataFrame, boundary: bool = True)
     """Each file's module: the one whose path is the longest that the file's path begins with.
 
     With boundary, whole path components count: a file's ancestor directories are exploded and equi-joined, so no pair of
-    file and module is tried. Without, any prefix counts: all prefixes are exploded."""
-    parts = F.split("path", "/")
+    file and module is tried. Without, any prefix counts: those as long as some module's path are exploded."""
     if boundary:
+        parts = F.split("path", "/")
         dirs = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        tried = files.select("path", F.explode(F.array_distinct(dirs)).alias("prefix"))
     else:
-        dirs = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.left(F.col("path"), k))
-    tried = files.select("path", F.explode(F.array_distinct(dirs)).alias("prefix"))
-    hit = tried.join(modules.select(F.col("path").alias("prefix"), F.col("name").alias("module")), "prefix")
+        lengths = F.broadcast(modules.select(F.length("path").alias("n")).distinct())
+        tried = files.select("path").join(lengths, F.col("n") <= F.length("path")).select("path", F.left("path", F.col("n")).alias("prefix"))
+    hit = tried.join(shuffled(modules.select(F.col("path").alias("prefix"), F.col("name").alias("module"))), "prefix")
     best = hit.groupBy("path").agg(F.max(F.struct(F.length("prefix").alias("n"), "module"))["module"].alias("module"))
     return best
 

@@ -2,12 +2,22 @@
 
 import pytest
 
+from lexispan.operators import graph
 from lexispan.plans import queries
 
 
-@pytest.mark.parametrize("name", ["module_dependencies"])
+@pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary"])
 def test_nothing_exploded_is_broadcast(name, spark, sf_dir, same):
     """Spark takes exploded rows for few bytes, so a join left to it sends them all through the driver."""
     df = queries.QUERIES[name](spark, sf_dir)
-    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     same(df, queries.ORACLE[name])
+
+
+def test_prefixes_of_modules_lengths(spark):
+    files = spark.createDataFrame([("core/a.kt",), ("core-ui/b.kt",), ("c",), ("x",)], "path string")
+    modules = spark.createDataFrame([("core", "core"), ("c", "c"), ("long", "core/a.kt/and/more"), (None, None)], "name string, path string")
+    find = lambda m: {(r.path, r.module) for r in graph.longest_prefix(files, m, boundary=False).collect()}
+    assert find(modules) == {("core/a.kt", "core"), ("core-ui/b.kt", "core"), ("c", "c")}
+    assert find(modules.limit(0)) == set()
+    assert find(modules.unionByName(spark.createDataFrame([("root", "")], "name string, path string"))) == find(modules) | {("x", "root")}
