@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, like
+from ..shared import shuffled
 
 NAMED = ("drawable", "mipmap", "layout")
 VALUES = ("string", "color", "dimen", "style")
@@ -45,7 +46,7 @@ def resource_usages(lines: DataFrame, resources: DataFrame, extensions: tuple[st
     code = each_match(lines.filter(extension(F.col("path")).isin("kt", "java")), r"\bR\.(\w+)\.(\w+)", {"type": 1, "name": 2}).withColumn("usage_type", F.lit("code"))
     xml = each_match(lines.filter(extension(F.col("path")).isin(*extensions)), r"@(?:\+)?(\w+)/([\w.]+)", {"type": 1, "name": 2}).withColumn("usage_type", F.lit("xml"))
     known = resources.groupBy("type", "name").agg(F.max("id").alias("resource_id"))
-    return code.unionByName(xml).join(known, ["type", "name"]).select("resource_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), "usage_type")
+    return code.unionByName(xml).join(shuffled(known), ["type", "name"]).select("resource_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), "usage_type")
 
 
 def parse_resource(text: str) -> tuple[str, str]:

@@ -547,11 +547,12 @@ _RES = "type VARCHAR, name VARCHAR, path VARCHAR, line INTEGER"
 add("resource_definitions", PLATFORM, lambda c: resources.resource_definitions(c.files, c.lines), _RES, [("layout", "main_{i}", LAYOUT, None), ("drawable", "ic_{i}", "x{i}/res/drawable/ic_{i}.png", None), ("string", "title_{i}", VALUES, 2), ("color", "red_{i}", VALUES, 3)])
 
 
-def _keyed_resources(c: Code) -> DataFrame:
-    return build.keyed(resources.resource_definitions(c.files, c.lines), "type", "name", "path", "line")
+def _used_resources(c: Code) -> DataFrame:
+    known = written(build.keyed(resources.resource_definitions(c.files, c.lines), "type", "name", "path", "line"), "resources")
+    return resources.resource_usages(c.lines, known).join(shuffled(known.select(F.col("id").alias("resource_id"), "type", "name")), "resource_id").drop("resource_id")
 
 
-add("resource_usages", PLATFORM, lambda c: resources.resource_usages(c.lines, _keyed_resources(c)).join(_keyed_resources(c).select(F.col("id").alias("resource_id"), "type", "name"), "resource_id").drop("resource_id"), "usage_file VARCHAR, usage_line INTEGER, usage_type VARCHAR, type VARCHAR, name VARCHAR", [("x{i}/src/A.kt", 1, "code", "string", "title_{i}"), (LAYOUT, 2, "xml", "string", "title_{i}")])
+add("resource_usages", PLATFORM, _used_resources, "usage_file VARCHAR, usage_line INTEGER, usage_type VARCHAR, type VARCHAR, name VARCHAR", [("x{i}/src/A.kt", 1, "code", "string", "title_{i}"), (LAYOUT, 2, "xml", "string", "title_{i}")])
 add("storyboard_usages", PLATFORM, lambda c: resources.storyboard_usages(c.lines), "path VARCHAR, line INTEGER, class_name VARCHAR, usage_type VARCHAR, storyboard_id VARCHAR", [(BOARD, 1, "Home{i}", "viewController", "v1"), (BOARD, 2, "Row{i}", "cell", None), (BOARD, 3, "Tag{i}", "other", None)])
 add("ios_assets", PLATFORM, lambda c: resources.ios_assets(c.files), "type VARCHAR, name VARCHAR, path VARCHAR", [("imageset", "logo{i}", "x{i}/Assets.xcassets/logo{i}.imageset")])
 

@@ -6,7 +6,7 @@ from lexispan.operators import graph
 from lexispan.plans import queries
 
 
-@pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary"])
+@pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary", "resource_usages"])
 def test_nothing_exploded_is_broadcast(name, spark, sf_dir, same):
     """Spark takes exploded rows for few bytes, so a join left to it sends them all through the driver."""
     df = queries.QUERIES[name](spark, sf_dir)
