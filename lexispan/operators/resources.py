@@ -14,21 +14,20 @@ NAMED = ("drawable", "mipmap", "layout")
 VALUES = ("string", "color", "dimen", "style")
 
 
-def each_match(lines: DataFrame, pattern: str, names: dict[str, int]) -> DataFrame:
-    """One row for each match of a pattern in a line, with its groups."""
+def each_match(lines: DataFrame, pattern: str, names: dict[str, int], *keep: str) -> DataFrame:
+    """One row for each match of a pattern in a line, with its groups and what is kept of the line."""
     found = lines.withColumn("_m", F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)))
-    return found.select("path", "line", *[F.regexp_extract("_m", pattern, g).alias(c) for c, g in names.items()])
+    return found.select("path", "line", *keep, *[F.regexp_extract("_m", pattern, g).alias(c) for c, g in names.items()])
 
 
 def xml_usages(lines: DataFrame) -> DataFrame:
     """Classes that layouts name: as tags with dots, in class attributes, as fragments."""
-    xml = lines.filter(extension(F.col("path")) == "xml")
     ident = F.regexp_extract("text", r"""android:id="@\+?id/(\w+)\"""", 1)
-    tags = each_match(xml, r"<([a-z][\w]*(?:\.\w+)+)", {"class_name": 1}).withColumn("usage_type", F.lit("view_tag"))
-    attrs = each_match(xml, r"""\b(class|android:name)="([\w.]+)\"""", {"attr": 1, "class_name": 2}).filter(F.contains("class_name", F.lit(".")))
+    xml = lines.filter(extension(F.col("path")) == "xml").withColumn("element_id", F.nullif(ident, F.lit("")))
+    tags = each_match(xml, r"<([a-z][\w]*(?:\.\w+)+)", {"class_name": 1}, "element_id").withColumn("usage_type", F.lit("view_tag"))
+    attrs = each_match(xml, r"""\b(class|android:name)="([\w.]+)\"""", {"attr": 1, "class_name": 2}, "element_id").filter(F.contains("class_name", F.lit(".")))
     attrs = attrs.withColumn("usage_type", F.when(F.col("attr") == "class", "view_class_attr").otherwise("fragment")).drop("attr")
-    ids = xml.select("path", "line", F.nullif(ident, F.lit("")).alias("element_id"))
-    return tags.unionByName(attrs).join(ids, ["path", "line"])
+    return tags.unionByName(attrs)
 
 
 def resource_definitions(files: DataFrame, lines: DataFrame) -> DataFrame:

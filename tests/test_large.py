@@ -2,11 +2,11 @@
 
 import pytest
 
-from lexispan.operators import graph
+from lexispan.operators import graph, resources
 from lexispan.plans import queries
 
 
-@pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary", "resource_usages"])
+@pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary", "resource_usages", "xml_usages"])
 def test_nothing_exploded_is_broadcast(name, spark, sf_dir, same):
     """Spark takes exploded rows for few bytes, so a join left to it sends them all through the driver."""
     df = queries.QUERIES[name](spark, sf_dir)
@@ -21,3 +21,11 @@ def test_prefixes_of_modules_lengths(spark):
     assert find(modules) == {("core/a.kt", "core"), ("core-ui/b.kt", "core"), ("c", "c")}
     assert find(modules.limit(0)) == set()
     assert find(modules.unionByName(spark.createDataFrame([("root", "")], "name string, path string"))) == find(modules) | {("x", "root")}
+
+
+def test_layout_lines_that_repeat(spark):
+    """Each line has its own id, and a line that is there twice counts twice, not four times."""
+    text = '<a.B android:id="@+id/x" class="c.D"/><e.F>'
+    lines = spark.createDataFrame([("m.xml", 1, text)] * 2 + [("m.xml", 2, "<e.F>")], "path string, line int, text string")
+    rows = sorted((r.line, r.class_name, r.usage_type, r.element_id) for r in resources.xml_usages(lines).collect())
+    assert rows == [(1, "a.B", "view_tag", "x")] * 2 + [(1, "c.D", "view_class_attr", "x")] * 2 + [(1, "e.F", "view_tag", "x")] * 2 + [(2, "e.F", "view_tag", None)]
