@@ -135,7 +135,7 @@ add("unused_deps", sql(f"""WITH m AS (SELECT DISTINCT module FROM {_srefs}), dep
   u AS (SELECT r.module, d.module AS dependency, count(DISTINCT r.name) AS n FROM {_srefs} r JOIN {_defs} d ON r.name = d.name GROUP BY ALL)
   SELECT deps.*, coalesce(n, 0)::BIGINT AS n_direct, CASE WHEN n > 0 THEN 'used_direct' WHEN dep_kind = 'api' THEN 'exported' ELSE 'unused' END AS verdict FROM deps LEFT JOIN u USING (module, dependency)""", "refs", "files"), _usage)
 add("unused_symbols", sql("SELECT name, kind, line, path FROM located WHERE kind IN ('class', 'interface', 'object', 'enum', 'function') AND string_split(name, ' ')[2] NOT IN (SELECT lower(word) FROM words) ORDER BY path, line, name LIMIT 50", "located", "words"),
-    lambda x: insight.unused_symbols(x.located.withColumn("name", F.get(F.split("name", " "), F.lit(1))).withColumn("full", F.lit("")), x.words.select(F.lower("word").alias("name")), *[x.spark.createDataFrame([], "class_name string")] * 2, exported_only=False, limit=None).join(x.located.select(F.col("path"), F.col("line"), F.col("kind"), F.col("name").alias("full"), F.get(F.split("name", " "), F.lit(1)).alias("name")).distinct(), ["path", "line", "kind", "name"]).select(F.col("full").alias("name"), "kind", "line", "path").orderBy("path", "line", "name").limit(50))
+    lambda x: insight.unused_symbols(x.located.withColumn("second", F.get(F.split("name", " "), F.lit(1))), x.words.select(F.lower("word").alias("name")), *[x.spark.createDataFrame([], "class_name string")] * 2, exported_only=False, key="second"))
 add("unused_resources", sql("SELECT type, name FROM resources WHERE name NOT IN (SELECT word FROM words)", "resources", "words"), lambda x: resources.unused(x.resources, x.words.join(x.resources.select("id", "name"), F.col("word") == F.col("name")).select("id").withColumnRenamed("id", "resource_id"), "resource_id").select("type", "name"))
 add("resource_lookup", sql("SELECT w.path AS usage_file, w.line AS usage_line, 'word' AS usage_type FROM words w JOIN resources r ON w.word = r.name WHERE r.type = 'string' AND r.name = 'and' ORDER BY w.path, w.line LIMIT 100", "words", "resources"), lambda x: resources.usages_of_resource(x.words.join(x.resources.select(F.col("id").alias("resource_id"), "name"), F.col("word") == F.col("name")).select("resource_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), F.lit("word").alias("usage_type")), x.resources, "@string/and"))
 add("asset_usages", sql("SELECT r.name, w.path AS usage_file, count(*) AS n FROM words w JOIN resources r ON w.word = r.name WHERE r.name ILIKE '%tion%' GROUP BY ALL", "words", "resources"), lambda x: resources.matching_assets(x.words.join(x.resources.select(F.col("id").alias("asset_id"), "name"), F.col("word") == F.col("name")).select("asset_id", F.col("path").alias("usage_file"), F.col("line").alias("usage_line"), F.lit("").alias("usage_type")), x.resources, "tion").groupBy("name", "usage_file").agg(F.count("*").alias("n")))

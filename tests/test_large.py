@@ -29,3 +29,19 @@ def test_layout_lines_that_repeat(spark):
     lines = spark.createDataFrame([("m.xml", 1, text)] * 2 + [("m.xml", 2, "<e.F>")], "path string, line int, text string")
     rows = sorted((r.line, r.class_name, r.usage_type, r.element_id) for r in resources.xml_usages(lines).collect())
     assert rows == [(1, "a.B", "view_tag", "x")] * 2 + [(1, "c.D", "view_class_attr", "x")] * 2 + [(1, "e.F", "view_tag", "x")] * 2 + [(2, "e.F", "view_tag", None)]
+
+
+def test_symbols_of_one_place(spark, tmp_path):
+    """Symbols of one file, line and kind whose names share the word that is looked for; equal ones; names of one word, and none."""
+    import duckdb
+
+    names = ["red ring", "blue ring", "old ring", "old ring", "hot gear", "ring", None, "red bolt"]
+    parts = spark.createDataFrame([(k * 200, n, "B", "ECONOMY", 5) for k, n in enumerate(names)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    documents = spark.createDataFrame([(0, "a Gear", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in (("part", parts), ("documents", documents)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    c = duckdb.connect()
+    for name in ("part", "documents"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in queries.QUERIES["unused_symbols"](spark, str(tmp_path)).collect()]
+    assert got == c.execute(queries.ORACLE["unused_symbols"]).fetchall() and len(got) == 5
