@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +69,61 @@ def is_limited(spark: SparkSession, text: str) -> bool:
     return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit", "LimitAll")
 
 
+def _seq(x) -> list:
+    return [x.apply(k) for k in range(x.size())]
+
+
+def _not_in(plan) -> list:
+    """The conditions NOT IN (query) on one column, among those that a filter's rows must all meet, subqueries left out."""
+    out, todo, conditions = [], [plan], []
+    while todo:
+        p = todo.pop()
+        todo += [x for seq in (p.children(), p.innerChildren()) for x in _seq(seq) if _is_plan(x)]
+        conditions += [p.condition()] if p.getClass().getSimpleName() == "Filter" else []
+    while conditions:
+        e = conditions.pop()
+        kinds = [e.getClass().getSimpleName(), *[x.getClass().getSimpleName() for x in _seq(e.children())]]
+        if kinds[0] == "And":
+            conditions += _seq(e.children())
+        elif kinds == ["Not", "InSubquery"]:
+            values = _seq(e.child().values())
+            if [v.getClass().getSimpleName() for v in values] == ["UnresolvedAttribute"]:
+                out.append((e, values[0]))
+    return out
+
+
+def by_shuffles(spark: SparkSession, statement: str) -> str:
+    """The statement with each x NOT IN (query) of its filters spelled out: no row equal, none null, and x not null unless there are no rows.
+
+    Spark can do NOT IN only by sending every row of the query through the driver; these it does by shuffles of distinct rows.
+    What can't be told apart safely (x that is no column, queries with limits or chance) stays as it is."""
+    _, plan = parsed(spark, statement)
+    found, edits = _not_in(plan), []
+    if not found or plan.getClass().getSimpleName() == "ExplainCommand" or "${" in statement or not statement.isascii():
+        return statement
+    span = lambda e: (e.origin().startIndex().get(), e.origin().stopIndex().get() + 1)
+    for k, (e, x) in enumerate(found):
+        (a, b), (c, d), name = span(x), span(e), f"_not_in_{k}"
+        m = re.fullmatch(r"NOT\s+IN\s*(\(.*\))", statement[c:d], re.S | re.I)
+        if not m or b > c or statement[b:c].strip() or {"GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Sample"} & set(_nodes(e.child().query().plan())):
+            continue
+        rows, col = f"FROM (SELECT DISTINCT * FROM {m[1]}) AS {name}({name}_c)", statement[a:b]
+        same, null = (f"NOT EXISTS (SELECT 1 {rows} WHERE {name}_c {test})" for test in (f"= {col}", "IS NULL"))
+        edits.append((a, d, f"({same} AND {null} AND ({col} IS NOT NULL OR NOT EXISTS (SELECT 1 FROM {m[1]})))"))
+    for a, d, new in sorted(edits, reverse=True):
+        statement = statement[:a] + new + statement[d:]
+    return statement
+
+
 def query(spark: SparkSession, text: str, limit: int = 100) -> DataFrame:
     """The rows of a query; at most limit of them unless it has a LIMIT of its own."""
-    df = spark.sql(check(spark, text))
+    statement = check(spark, text)
+    df = spark.sql(statement)
+    if (spelled := by_shuffles(spark, statement)) != statement and df._jdf.queryExecution().analyzed().deterministic():
+        try:
+            df = spark.sql(spelled)
+        except AnalysisException:  # a query that refers to the one around it can't stand deeper
+            pass
     return df if is_limited(spark, text) or text.strip()[:7].upper() == "EXPLAIN" else df.limit(limit)
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from lexispan.operators import graph, resources
 from lexispan.plans import queries
+from lexispan.plans import sql as plain_sql
 
 
 @pytest.mark.parametrize("name", ["module_dependencies", "prefix_without_boundary", "resource_usages", "xml_usages"])
@@ -45,3 +46,19 @@ def test_symbols_of_one_place(spark, tmp_path):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = [tuple(r) for r in queries.QUERIES["unused_symbols"](spark, str(tmp_path)).collect()]
     assert got == c.execute(queries.ORACLE["unused_symbols"]).fetchall() and len(got) == 5
+
+
+def test_not_in_by_shuffles(spark, sf_dir):
+    """NOT IN means what it means in SQL, nulls included, without all rows of its query going through the driver."""
+    frame = lambda name, rows, ddl: spark.createDataFrame(rows, ddl).createOrReplaceTempView(name)
+    frame("l", [(1, "a"), (2, "b"), (3, None), (4, "c"), (4, "c")], "i int, name string")
+    frame("r", [("a", 1), ("a", 2), ("z", 3)], "name string, k int")
+    frame("rn", [("a", 1), (None, 2)], "name string, k int")
+    frame("e", [], "name string, k int")
+    count = lambda q: plain_sql.query(spark, f"SELECT * FROM l WHERE {q}").count()
+    assert [count(f"name NOT IN (SELECT name FROM {t})") for t in ("r", "rn", "e")] == [3, 0, 5]
+    assert count("i > 2 AND name NOT IN (SELECT name FROM r) AND i NOT IN (SELECT k FROM r)") == 2
+    assert count("name NOT IN (SELECT name FROM r WHERE r.k = l.i)") == 3
+    assert count("(name) NOT IN (SELECT name FROM r LIMIT 1) OR i = 1") == 4
+    for df in (plain_sql.query(spark, "SELECT * FROM l WHERE name NOT IN (SELECT name FROM r)"), queries.QUERIES["sql_not_in"](spark, sf_dir)):
+        assert "OR isnull((" not in df._jdf.queryExecution().optimizedPlan().toString()
